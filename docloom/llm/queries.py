@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import near_duplicates
+from docloom.llm import near_duplicates, rank_fusion, splitting, top_n
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -23,6 +23,36 @@ def p1_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates.similar_classes(_read(spark, sf, "documents"), "doc_id", "text", threshold=0.8, width=5)
 
 
+HIT_ORDER = [("score", "desc"), ("best_rank", "asc"), ("doc_id", "asc")]
+
+
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return top_n.top_n(_read(spark, sf, "search_results"), ["query_id", "retriever"], HIT_ORDER, 5).select("query_id", "retriever", "doc_id")
+
+
+def p2_top(spark: SparkSession, sf: str) -> DataFrame:
+    return top_n.top_n(_read(spark, sf, "search_results"), ["query_id", "retriever"], HIT_ORDER, 5, carry=["entry_id", "chunk_id"])
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p3_pieces(spark, sf).select("chunk_id").distinct()
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_texts(_read(spark, sf, "chunk_records"), "chunk_id", "text", "page_start", "page_end", limit=2000, overlap=200).withColumnRenamed("id", "chunk_id")
+
+
+SCORES = {"bm25_score": 1.0, "faiss_score": 1.0, "rrf_score": 1.0}
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return rank_fusion.best(_read(spark, sf, "rrf_hits"), "query_id", "entry_id", SCORES)
+
+
+def p4_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return rank_fusion.fuse(_read(spark, sf, "rrf_hits"), "query_id", "entry_id", SCORES)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
