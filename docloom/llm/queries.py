@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import near_duplicates, rank_fusion, splitting, top_n
+from docloom.llm import mixing, near_duplicates, rank_fusion, reading_level, splitting, tokenizer, top_n
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -53,6 +53,33 @@ def p4_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return rank_fusion.fuse(_read(spark, sf, "rrf_hits"), "query_id", "entry_id", SCORES)
 
 
+VOCABULARY = tokenizer.DEFAULT
+
+
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenizer.encode(_read(spark, sf, "documents"), "doc_id", "text", VOCABULARY)
+
+
+def p7_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenizer.count_tokens(_read(spark, sf, "documents"), ["doc_id", "source"], "text", VOCABULARY)
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"), vocabulary=VOCABULARY)[0]
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"), vocabulary=VOCABULARY)[1]
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_levels(spark, sf).where("band = 5").select("doc_id")
+
+
+def p9_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_level.reading_levels(_read(spark, sf, "documents"), _read(spark, sf, "reading_labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
