@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, near_duplicates, rank_fusion, reading_level, splitting, tokenizer, top_n
+from docloom.llm import mixing, near_duplicates, rank_fusion, reading_level, splitting, tokenizer, top_n, vector_neighbors
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -53,6 +53,11 @@ def p4_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return rank_fusion.fuse(_read(spark, sf, "rrf_hits"), "query_id", "entry_id", SCORES)
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = vector_neighbors.similar_vectors(_read(spark, sf, "chunk_vectors"), "chunk_id", "embedding", "shard_idx", k=10, least=0.9)
+    return near.select(F.least("doc", "neighbour").alias("chunk_id_a"), F.greatest("doc", "neighbour").alias("chunk_id_b")).distinct()
+
+
 VOCABULARY = tokenizer.DEFAULT
 
 
