@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import mixing, near_duplicates, rank_fusion, reading_level, splitting, tokenizer, top_n, vector_neighbors
+from docloom.llm import mixing, near_duplicates, rank_fusion, reading_level, scan_repair, splitting, tokenizer, top_n, vector_neighbors
 
 
 def _read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -58,6 +58,14 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("doc", "neighbour").alias("chunk_id_a"), F.greatest("doc", "neighbour").alias("chunk_id_b")).distinct()
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_repair.scan_lines(_read(spark, sf, "page_records"))
+
+
+def p6_text(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_repair.scan_pages(_read(spark, sf, "page_records")).select("stable_id", "page_num", "repaired")
+
+
 VOCABULARY = tokenizer.DEFAULT
 
 
