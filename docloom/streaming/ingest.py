@@ -15,6 +15,8 @@ def stream_table(spark: SparkSession, path: str, schema: T.StructType, max_files
 
 def first_arrivals(chunks: DataFrame, id_col: str = "chunk_id", time_col: str = "ingested_at", lateness: str = "1 day") -> DataFrame:
     """Each id once; the state forgets an id when the watermark has passed it."""
+    if chunks.schema[time_col].dataType.typeName() == "timestamp_ntz":
+        chunks = chunks.withColumn(time_col, F.col(time_col).cast("timestamp"))
     return chunks.withWatermark(time_col, lateness).dropDuplicatesWithinWatermark([id_col])
 
 
