@@ -46,14 +46,19 @@ def replace_all(c: Column | str, *rules: tuple[str, str]) -> Column:
     return out
 
 
+def join_broken(c: Column) -> Column:
+    """Words broken by a hyphen at a line's end joined; the costly pattern runs on texts with such an end only."""
+    return F.when(F.contains(c, F.lit("-\n")), F.regexp_replace(c, r"(?U)(\w)-\n(\w)", "$1$2")).otherwise(c)
+
+
 def normalize_text(c: Column | str) -> Column:
     """Words broken over a line joined, white space collapsed, ends trimmed; null gives the empty string."""
-    return F.btrim(replace_all(F.coalesce(_column(c), F.lit("")), (r"(?U)(\w)-\n(\w)", "$1$2"), (r"(?U)[\s\x1c-\x1f]+", " ")))
+    return F.btrim(F.regexp_replace(join_broken(F.coalesce(_column(c), F.lit(""))), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def tokenize(c: Column | str) -> Column:
-    """Runs of a-z and 0-9 of the normalised lower-case text."""
-    return F.regexp_extract_all(F.lower(normalize_text(c)), F.lit("[a-z0-9]+"), F.lit(0))
+    """Runs of a-z and 0-9 of the normalised lower-case text; how white space is normalised makes no difference to them."""
+    return F.regexp_extract_all(F.lower(join_broken(F.coalesce(_column(c), F.lit("")))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def filter_tokens(tokens: Column | str, min_length: int = 2, stopwords: list[str] | None = None) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import filter_tokens, tokenize
 from docloom.operators.ranking import number_rows
+from docloom.session import materialise
 
 K1, B = 1.2, 0.75
 MAX_UNIQUE_TERMS = 50_000
@@ -44,22 +45,35 @@ def document_terms(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def postings_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    terms = document_terms(df, id_col, text_col).select("doc_id", "dl", F.explode("tokens").alias("term"))
-    return terms.groupBy("term", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
+    """term, doc_id, dl, tf."""
+    return _postings(document_terms(df, id_col, text_col))
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    """Postings partitioned by document: what is grouped by document later on needs no further shuffle."""
+    spark = docs.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    terms = docs.repartition(n, "doc_id").select("doc_id", "dl", F.explode("tokens").alias("term"))
+    return terms.groupBy("doc_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
 def corpus_stats(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row: n_docs, total_len, avgdl."""
-    docs = document_terms(df, id_col, text_col)
+    return _stats(document_terms(df, id_col, text_col))
+
+
+def _stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_len"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
 def build_index(df: DataFrame, id_col: str, text_col: str) -> Index:
-    postings = postings_of(df, id_col, text_col)
-    stats = corpus_stats(df, id_col, text_col).first()
+    """The index of the documents. Their tokens are written once; all parts of the index read that table."""
+    docs = materialise(document_terms(df, id_col, text_col), "tokens")
+    postings = _postings(docs)
+    stats = _stats(docs).first()
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = frequencies.withColumn("idf", idf(F.lit(stats.n_docs), F.col("df")))
-    return Index(postings, terms, document_terms(df, id_col, text_col).select("doc_id", "dl"), stats.n_docs, stats.avgdl)
+    return Index(postings, terms, docs.select("doc_id", "dl"), stats.n_docs, stats.avgdl)
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:
@@ -84,16 +98,14 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def score(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """query_id, doc_id, score (six decimals) and first_term of every document with a term of the query.
 
-    Only the postings of query terms are scored. The idf is a window over them, for all of a term's
-    postings are there, which spares the corpus-wide count of terms that nobody asks for.
+    The weights of the query terms are written first, so their size is known: while they are small, the optimizer
+    broadcasts them to the postings, which stay partitioned by document, and scores are summed and cut to the best of each
+    partition before anything is shuffled; a large batch is joined by term instead.
     """
     asked = query_terms(queries)
-    wanted = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
-    frequency = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(frequency, "term").select("query_id", "term", idf(F.lit(index.n_docs), F.col("df")).alias("idf"))
-    matched = weights.join(wanted, "term")
+    weights = materialise(asked.join(index.terms, "term").select("query_id", "term", "idf"), "weights")
     part = term_score(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
-    return matched.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.min("term").alias("first_term"))
+    return index.postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.min("term").alias("first_term"))
 
 
 def candidates(scored: DataFrame, top_k: int = 10, oversample: int = 10, max_candidates: int | None = None) -> DataFrame:
