@@ -58,6 +58,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("doc", "neighbour").alias("chunk_id_a"), F.greatest("doc", "neighbour").alias("chunk_id_b")).distinct()
 
 
+def p5_neighbors(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar of the stated query set: chunks whose hashed id is divisible by 50."""
+    vectors = _read(spark, sf, "chunk_vectors")
+    asked = vectors.where(F.pmod(F.xxhash64("chunk_id"), F.lit(50)) == 0)
+    return vector_neighbors.search(vectors, asked, "chunk_id", "embedding", "shard_idx", k=10)
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return scan_repair.scan_lines(_read(spark, sf, "page_records"))
 
