@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of query vectors that go to every task at once.
 BLOCK_BYTES = 32 << 20
@@ -72,6 +73,7 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
     kind = vectors.schema[id_col].dataType.simpleString()
     query_kind = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_kind}, {id_col} {kind}, score double"
+    kinds = [to_arrow_type(queries.schema["query_id"].dataType), to_arrow_type(vectors.schema[id_col].dataType)]
     if dims is None:
         return spark.createDataFrame([], schema + ", rank int")
     rows = max(1, BLOCK_BYTES // (8 * dims[0]))
@@ -99,7 +101,7 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
                 best = got if best is None else pd.concat([best, got])
                 best = best.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
             if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best["q"]]), pa.array(best["id"].tolist()), pa.array(best["score"].to_numpy())], names=["query_id", id_col, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best["q"]], kinds[0]), pa.array(best["id"].tolist(), kinds[1]), pa.array(best["score"].to_numpy())], names=["query_id", id_col, "score"])
 
         return vectors.select(id_col, F.col(vec).cast("array<double>")).mapInArrow(run, schema)
 
