@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +26,19 @@ def get_spark(app: str = "docloom", cores: str | int = "*", shuffle_partitions:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's code to the Python workers, once a session, so that they need no copy of their own."""
+    context, root = spark.sparkContext, Path(__file__).parent
+    if getattr(context, "_docloom_shipped", False) or not root.is_dir():  # not a folder: it came as a zip itself
+        return
+    made = Path(tempfile.mkdtemp(prefix="docloom-")) / "docloom.zip"
+    with zipfile.ZipFile(made, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(made))
+    context._docloom_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
