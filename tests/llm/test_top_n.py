@@ -9,7 +9,7 @@ def brute(rows, n):
     for q, ret, doc, score, rank in set(rows):
         if score is not None and not math.isnan(score):
             groups.setdefault((q, ret), set()).add((-score, rank is None, rank or 0, doc))
-    return sorted((*g, x[3]) for g, xs in groups.items() for x in sorted(xs)[:n])
+    return sorted(((*g, x[3]) for g, xs in groups.items() for x in sorted(xs)[:n]), key=key)
 
 
 SCHEMA = "query_id long, retriever string, doc_id long, score double, best_rank int"
