@@ -7,7 +7,8 @@ perturbations with the smallest sums of squared distances to the borders, in the
 borders. Candidates of all tables are merged and reranked by the exact cosine.
 
 The number of hash functions follows the logarithm of the number of vectors, so that buckets stay small as
-the collection grows. A bucket row holds a 128-bit sign sketch of its vector instead of the vector; pairs more
+the collection grows; the number of tables follows that of the functions, so that a pair at the least cosine wanted
+meets with a probability of ``MEET`` at any size (``tables_needed``). A bucket row holds a 128-bit sign sketch of its vector instead of the vector; pairs more
 than four standard deviations away from the least cosine wanted never get to the reranking.
 Buckets above ``LARGE`` vectors (a topic that holds a third of all) go another, exact way: blocks of
 the bucket's vectors are multiplied with blocks of its visitors and each visitor keeps its k best of a block.
@@ -34,6 +35,8 @@ from docloom.session import materialise
 
 LARGE = 4000
 SEED = 20_240_501
+#: Least probability at which a pair at the least cosine wanted meets in some table, and the made pairs it is measured on.
+MEET, PAIRS = 0.99, 4000
 
 
 def probe_order(functions: int, probes: int) -> list[tuple[int, ...]]:
@@ -88,6 +91,27 @@ class Tables:
         return np.stack(out, 1)
 
 
+def tables_needed(dims: int, tables: int, functions: int, width: float, probes: int, least: float) -> int:
+    """The number of tables, ``tables`` or more, at which a pair at cosine ``least`` meets with a probability of MEET.
+
+    Both of a pair visit. Tables are independent, so the share of made pairs that meet is taken over single tables.
+    """
+    if least <= 0:
+        return tables
+    g = np.random.default_rng(SEED + 2)
+    x, z = g.normal(size=(2, PAIRS, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * z
+    hashed = Tables(dims, 8, functions, width, probes)
+    of_x, of_y = hashed.keys(x, True), hashed.keys(y, True)
+    met = ((of_x == of_y[:, :, :1]) | (of_y == of_x[:, :, :1])).any(2).mean()
+    met = min(max(met, 1 / (8 * PAIRS)), 1 - 1e-9)
+    # a tenth of the misses is left to the error of the estimate and to the sketch's filter
+    return max(tables, math.ceil(math.log(0.9 * (1 - MEET)) / math.log1p(-met)))
+
+
 def unit_vectors(df: DataFrame, id_col: str, vec_col: str, order_col: str | None, dims: int) -> DataFrame:
     """doc, vec (hash of the unit vector, equal for equal ones), v (float32 bytes), f1 and f2 (sign sketch)."""
     good = f"doc is not null and size(x) = {dims} and not exists(x, e -> e is null or isnan(e) or abs(e) = double('infinity')) and exists(x, e -> e <> 0)"
@@ -198,13 +222,14 @@ def _cosine(dims: int):
 def similar_vectors(df: DataFrame, id_col: str, vec_col: str, order_col: str | None = None, k: int = 10, least: float = 0.9, dims: int = 64, tables: int = 6, width: float = 2.2, probes: int = 12) -> DataFrame:
     """doc, neighbour, cosine and place (1 to k): the k most similar others of every id with a cosine of ``least`` or more.
 
-    The defaults find over 0.99 of the neighbours at a cosine of 0.9, and more above.
+    ``tables`` is the least number of tables; with more vectors, so more functions, there are as many as find 0.99 of
+    the neighbours at a cosine of ``least``, and more above.
     """
     members = materialise(unit_vectors(df, id_col, vec_col, order_col, dims), "members")
     vectors = materialise(members.groupBy("vec").agg(F.first("v").alias("v"), F.first("f1").alias("f1"), F.first("f2").alias("f2")), "vectors")
     n = vectors.count()
     functions = max(6, round(3.3 * math.log10(max(n, 10))))
-    hashed = Tables(dims, tables, functions, width, probes)
+    hashed = Tables(dims, tables_needed(dims, tables, functions, width, probes, least), functions, width, probes)
     share = math.acos(least) / math.pi
     most = math.ceil(128 * share + 4 * math.sqrt(128 * share * (1 - share)))
     counts = _entries(vectors, hashed, dims, False).groupBy("key").agg(F.count("*").alias("standing")).where(F.col("standing") > LARGE)

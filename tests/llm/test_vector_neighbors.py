@@ -74,3 +74,18 @@ def test_search_recall(spark):
     got = {(r.query, r.neighbour) for r in vn.search(df, asked, "id", "v", k=10).collect()}
     want = {p for p in brute(ids, x, 10, -1) if p[0] < "c0050"}
     assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("functions", [6, 13, 16, 19, 22, 25])
+def test_pairs_at_the_least_cosine_meet_at_every_size(functions):
+    g = np.random.default_rng(9)
+    x, z = g.normal(size=(2, 3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z -= (z * x).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.9**2) * z / np.linalg.norm(z, axis=1)[:, None]
+    tables = vn.tables_needed(64, 6, functions, 2.2, 12, 0.9)
+    hashed = vn.Tables(64, tables, functions, 2.2, 12)
+    of_x, of_y = hashed.keys(x, True), hashed.keys(y, True)
+    met = ((of_x == of_y[:, :, :1]) | (of_y == of_x[:, :, :1])).any((1, 2)).mean()
+    print(functions, tables, met)
+    assert met >= vn.MEET - 2 * np.sqrt(vn.MEET * (1 - vn.MEET) / 3000)
