@@ -44,8 +44,7 @@ def distinct_children(spark: SparkSession, sf: str) -> DataFrame:
 @add("select page_ptr_id, min_by(file_title, page_num) filter (file_title is not null) as file_title, min_by(document_type, page_num) filter (document_type is not null) as document_type from (select distinct page_ptr_id, page_num, file_title, document_type, stable_id from page_records where stable_id in (select min(stable_id) from page_records group by page_ptr_id)) group by page_ptr_id")
 def first_nonnull(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "page_records")
-    firsts = pages.groupBy("page_ptr_id").agg(F.min("stable_id").alias("stable_id"))
-    return ranking.first_values(pages.join(firsts, ["page_ptr_id", "stable_id"]), ["page_ptr_id"], ["page_num"], ["file_title", "document_type"])
+    return ranking.first_values(pages, ["page_ptr_id"], ["stable_id", "page_num"], ["file_title", "document_type"])
 
 
 @add("select page_ptr_id, a.id as related_id, title from (select distinct page_ptr_id, unnest([page_ptr_id - 1, page_ptr_id + 1]) as id from policies) a left join (select page_ptr_id as id, any_value(title) as title from policies group by page_ptr_id) b using (id)")

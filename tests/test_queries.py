@@ -41,3 +41,10 @@ def test_equals_sql(spark, tables, name):
 def test_names():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert catalog.flagship.__doc__
+
+
+def test_first_nonnull_sees_every_attachment(spark, tmp_path):
+    rows = [(1, "a", 1, None, None), (1, "a", 2, None, "rule"), (1, "b", 1, "Title", "memo"), (2, "c", 1, None, None)]
+    spark.createDataFrame(rows, "page_ptr_id long, stable_id string, page_num int, file_title string, document_type string").write.parquet(f"{tmp_path}/page_records.parquet")
+    got = {tuple(r) for r in catalog.queries()["first_nonnull"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "Title", "rule"), (2, None, None)}
