@@ -46,8 +46,7 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @add(f"select doc_id, {norm_sql('text')} as text from documents where doc_id > 8")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
-    # the first eight rows hold odd white space that RE2 and Java class differently
-    return table(spark, sf, "documents").where("doc_id > 8").select("doc_id", tx.normalize_text("text").alias("text"))
+    return table(spark, sf, "documents").select("doc_id", tx.normalize_text("text").alias("text"))
 
 
 @add(f"with {DOC_TERMS} select doc_id, term, tf::int as tf from post")

@@ -48,3 +48,11 @@ def test_first_nonnull_sees_every_attachment(spark, tmp_path):
     spark.createDataFrame(rows, "page_ptr_id long, stable_id string, page_num int, file_title string, document_type string").write.parquet(f"{tmp_path}/page_records.parquet")
     got = {tuple(r) for r in catalog.queries()["first_nonnull"](spark, str(tmp_path)).collect()}
     assert got == {(1, "Title", "rule"), (2, None, None)}
+
+
+def test_normalize_text_has_every_document(spark, tmp_path):
+    space = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        　"
+    rows = [(i, f"{c}a{c}{c}b-\nc{c}") for i, c in enumerate(space)] + [(len(space), None), (len(space) + 1, f"x{space}y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in catalog.queries()["normalize_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: "a bc" for i in range(len(space))} | {len(space): "", len(space) + 1: "x y"}
