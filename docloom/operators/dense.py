@@ -138,10 +138,11 @@ def centroids(vectors: DataFrame, label: str, vec: str = "embedding") -> DataFra
 class CentroidLists:
     """Vectors in lists by their nearest of some centroids; a search reads the lists of the nearest centroids only.
 
-    The centroids are fitted on a sample of at most ``sample`` vectors, every vector is put into a list.
+    The centroids are fitted on a sample of at most ``sample`` vectors, every vector is put into the lists of its
+    ``places`` nearest, so that one near a border is found from both sides.
     """
 
-    def __init__(self, vectors: DataFrame, lists: int, id_col: str = "chunk_id", vec: str = "embedding", sample: int = 20_000, rounds: int = 8):
+    def __init__(self, vectors: DataFrame, lists: int, id_col: str = "chunk_id", vec: str = "embedding", sample: int = 20_000, rounds: int = 8, places: int = 2):
         rows = vectors.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(id_col)).limit(sample).select(F.col(vec).cast("array<double>")).toPandas()
         x = np.stack(rows[rows.columns[0]].to_numpy())
         g = np.random.default_rng(0)
@@ -153,7 +154,7 @@ class CentroidLists:
             count = np.bincount(near, minlength=len(c))
             c = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], c)
         self.c, self.id_col, self.vec = c, id_col, vec
-        self.assigned = vectors.where(F.col(vec).isNotNull()).withColumn("list", self._nearest(1)(F.col(vec).cast("array<double>"))[0])
+        self.assigned = vectors.where(F.col(vec).isNotNull()).withColumn("lists", self._nearest(places)(F.col(vec).cast("array<double>")))
 
     def _nearest(self, n: int):
         c = self.c
@@ -169,8 +170,12 @@ class CentroidLists:
         """query_id, id, score, rank; queries: query_id and the vector column."""
         from docloom.functions.vectors import similarity
 
-        visits = queries.select("query_id", F.col(self.vec).alias("q"), F.explode(self._nearest(probes)(F.col(self.vec).cast("array<double>"))).alias("list"))
-        scored = visits.join(self.assigned.select("list", self.id_col, self.vec), "list").select("query_id", self.id_col, F.round(similarity(F.col("q"), F.col(self.vec), metric), 6).alias("score"))
+        visits = queries.select("query_id", F.col(self.vec).alias("q"), self._nearest(probes)(F.col(self.vec).cast("array<double>")).alias("visited"))
+        visits = visits.withColumn("list", F.explode("visited"))
+        stored = self.assigned.select("lists", self.id_col, self.vec).withColumn("list", F.explode("lists"))
+        # a vector counts in the first of its lists that the query visits
+        once = visits.join(stored, "list").where(F.element_at(F.filter("lists", lambda x: F.array_contains("visited", x)), 1) == F.col("list"))
+        scored = once.select("query_id", self.id_col, F.round(similarity(F.col("q"), F.col(self.vec), metric), 6).alias("score"))
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), self.id_col)
         return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -217,3 +217,16 @@ def test_tags_and_rejects(spark):
     pages = spark.createDataFrame([("s", 1, 1, "0", "t"), ("s", 1, 1, "-2", "t"), ("s", 1, 1, "1", "t"), ("s", 1, 1, "x", "t"), ("s", None, 1, "1", "t")], "stable_id string, page_ptr_id int, policydocument_id int, page_num string, text string")
     good, audit = relational.valid_pages(pages)
     assert good.count() == 1 and {r.type: r["rows"] for r in relational.audit_counts(audit).collect()} == {"SKIP_NONPOSITIVE_PAGE_NUM": 2, "SKIP_BAD_PAGE_NUM": 1, "SKIP_BAD_RECORD": 1}
+
+
+def test_centroid_lists_recall(spark):
+    x = np.random.default_rng(3).normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    rows = [(r.query_id, r.vec_id) for r in dense.CentroidLists(df, 16, "vec_id").search(asked, 10, 8).collect()]
+    s = np.round(x[::20] @ x.T, 6)
+    want = {(20 * i, int(j)) for i in range(len(s)) for j in np.argsort(-s[i], kind="stable")[:10]}
+    assert len(rows) == len(set(rows)) == 1000
+    print("recall", len(want & set(rows)) / len(want))
+    assert len(want & set(rows)) >= 0.9 * len(want)
