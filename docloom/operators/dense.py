@@ -197,7 +197,8 @@ class EmbedConfig:
 class Embedder:
     """Turns texts into vectors; subclass it to plug a model in, which is then loaded once a task.
 
-    This default hashes words: deterministic, without a model, good for tests and plumbing, not for meaning.
+    This default hashes all words: deterministic, without a model, good for tests and plumbing, not for meaning.
+    ``max_length`` is for models, whose window it is.
     """
 
     def __init__(self, config: EmbedConfig = EmbedConfig()):  # noqa: B008
@@ -210,7 +211,7 @@ class Embedder:
         c = self.config
         out = np.zeros((len(texts), c.dims), np.float32)
         for row, text in zip(out, texts, strict=True):
-            words = re.findall(r"\w+", (text.strip() or ".").lower())[: c.max_length] or ["."]
+            words = re.findall(r"\w+", (text.strip() or ".").lower()) or ["."]
             for w in words[:1] if c.pooling == "cls" else words:
                 h = hashlib.blake2b(w.encode(), digest_size=8).digest()
                 row[int.from_bytes(h[:4], "big") % c.dims] += 1 if h[4] & 1 else -1

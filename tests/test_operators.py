@@ -230,3 +230,10 @@ def test_centroid_lists_recall(spark):
     assert len(rows) == len(set(rows)) == 1000
     print("recall", len(want & set(rows)) / len(want))
     assert len(want & set(rows)) >= 0.9 * len(want)
+
+
+def test_embedder_hashes_all_words():
+    words = [f"w{i}" for i in range(600)]
+    one = lambda w: dense.Embedder(dense.EmbedConfig(normalize=False, pooling="sum")).embed([" ".join(w)])[0]
+    assert np.array_equal(one(words), one(words[:256]) + one(words[256:512]) + one(words[512:]))
+    assert not np.array_equal(one(words), one(words[:256]))
