@@ -121,11 +121,14 @@ def pair_scores(scorer: PairScorer):
 def rerank(fused: DataFrame, queries: DataFrame, texts: DataFrame, scorer: PairScorer | None = None, depth: int = 50, max_chars: int = 2000, by_date: bool = False) -> DataFrame:
     """The first ``depth`` results of each query in the order of the pair scores, the others after them.
 
-    texts: chunk_id, text; a result without one is scored by its snippet. by_date orders the head by date and drops the tail.
+    texts: chunk_id, text; a result without one is scored by its snippet. A given scorer sees
+    ``max_chars`` of a text, the stand-in all of it. by_date orders the head by date and drops the tail.
     """
     head = F.col("rank") <= depth
     pairs = fused.join(queries.select("query_id", "query"), "query_id").join(texts.select("chunk_id", "text"), "chunk_id", "left")
-    text = shorten(F.coalesce(F.nullif("text", F.lit("")), "snippet", F.lit("")), max_chars)
+    text = F.coalesce(F.nullif("text", F.lit("")), "snippet", F.lit(""))
+    if scorer is not None:
+        text = shorten(text, max_chars)
     scored = pairs.where(head).withColumn("ce_score", pair_scores(scorer or PairScorer())("query", text)).drop("query", "text")
     keys = [F.desc(date_to_int("announced_date"))] if by_date else []
     w = Window.partitionBy("query_id").orderBy(*keys, F.desc("ce_score"), F.desc("rrf_score"), "entry_id")

@@ -237,3 +237,12 @@ def test_embedder_hashes_all_words():
     one = lambda w: dense.Embedder(dense.EmbedConfig(normalize=False, pooling="sum")).embed([" ".join(w)])[0]
     assert np.array_equal(one(words), one(words[:256]) + one(words[256:512]) + one(words[512:]))
     assert not np.array_equal(one(words), one(words[:256]))
+
+
+def test_stand_in_scores_whole_texts(spark):
+    fused = spark.createDataFrame([(1, "e", "c", "s", 1, 0.5), (1, "f", "d", "s", 2, 0.4)], "query_id int, entry_id string, chunk_id string, snippet string, rank int, rrf_score double")
+    asked = spark.createDataFrame([(1, "asylum")], "query_id int, query string")
+    texts = spark.createDataFrame([("c", "word " * 600), ("d", "word " * 600 + "asylum")], "chunk_id string, text string")
+    assert {r.entry_id: r["rank"] for r in entries.rerank(fused, asked, texts).collect()} == {"f": 1, "e": 2}
+    cut = entries.rerank(fused, asked, texts, entries.PairScorer()).collect()  # a given scorer has a window
+    assert {r.entry_id: r["rank"] for r in cut} == {"e": 1, "f": 2}
