@@ -35,11 +35,10 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def first_values(df: DataFrame, keys: list[str], order: list[Column | str], columns: list[str]) -> DataFrame:
-    """For each column its first value that isn't null, in the order given."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ranked = df.withColumn("_n", rank)
-    return ranked.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_n"))).alias(c) for c in columns))
+def first_values(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """For each column its first value that isn't null, in ascending order with nulls first; aggregated before the shuffle."""
+    place = F.struct(*order)
+    return df.groupBy(*keys).agg(*(F.min_by(c, F.when(F.col(c).isNotNull(), place)).alias(c) for c in columns))
 
 
 def islands(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -94,33 +94,27 @@ def valid_chunks(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reject(df, "chunk_id", [("SKIP_MISSING_CHUNK_ID", F.col("chunk_id").isNull()), ("SKIP_EMPTY_TEXT", blank)])
 
 
-#: Tags that a table's name or columns suggest: name, part of the table name, all of these columns. Fixed values.
-TABLE_RULES = [
-    ("FILTER current status", "currentstatus", []),
-    ("JOIN status tags", "policy_status", []),
-    ("FILTER administrative action", "typeofaction", []),
-    ("FILTER subject matter", "subjectmatter", []),
-    ("FILTER agency", "agency", []),
-    ("LIKELY commentary", "policyfeedback", []),
-    ("LIKELY commentary", None, ["publisher", "title"]),
-    ("LIKELY external links", "externalpage", []),
-    ("LIKELY related policies", "taggedpolicy", []),
-    ("FILES documents", "wagtaildocs_document", []),
-    ("ATTACHMENTS documents of policies", "policydocument", []),
-    ("CORE pages", "wagtailcore_page", []),
-]
-
-
 def table_tags(df: DataFrame, table: str = "table", columns: str = "columns") -> DataFrame:
-    """Tags for each row of (table, array of columns)."""
-    name, have = F.lower(table), F.transform(columns, F.lower)
-    rules = []
-    for tag, part, needed in TABLE_RULES:
-        hit = F.contains(name, F.lit(part)) if part else F.lit(True)
-        for c in needed:
-            hit = hit & F.array_contains(have, c)
-        rules.append(F.when(hit, F.lit(tag)))
-    return df.withColumn("tags", F.array_distinct(F.filter(F.array(*rules), lambda x: x.isNotNull())))
+    """``tags`` of each row of (table, array of columns), told from the schema alone.
+
+    A column x_id is a reference to a table x. A table of references to two tables or more and nothing else joins them ("joins:a,b");
+    others with references "refer to" them, tables with a name and no reference are dimensions, and tables
+    with a path or file column hold files. Tables that others refer to (by their last name part) are tagged "referenced".
+    """
+    have = F.array_distinct(F.transform(F.coalesce(columns, F.array().cast("array<string>")), F.lower))
+    named = df.withColumn("_have", have).withColumn("_short", F.element_at(F.split(F.lower(table), r"[._]"), -1))
+    refs = F.array_sort(F.transform(F.filter("_have", lambda c: F.rlike(c, F.lit(r".+_id$"))), lambda c: F.regexp_replace(c, "_id$", "")))
+    named = named.withColumn("_refs", refs)
+    wanted = named.select(F.explode("_refs").alias("_r")).select(F.regexp_replace("_r", "^.*_", "").alias("_short")).distinct().withColumn("_hit", F.lit(True))
+    own = F.filter("_have", lambda c: (c != "id") & ~F.rlike(c, F.lit(r".+_id$")))
+    rules = [
+        F.when((F.size("_refs") > 1) & (F.size(own) == 0), F.concat(F.lit("joins:"), F.array_join("_refs", ","))),
+        F.when((F.size("_refs") > 0) & ~((F.size("_refs") > 1) & (F.size(own) == 0)), F.concat(F.lit("refers to:"), F.array_join("_refs", ","))),
+        F.when((F.size("_refs") == 0) & F.exists("_have", lambda c: c.isin("name", "title", "label", "slug")), F.lit("dimension")),
+        F.when(F.exists("_have", lambda c: F.rlike(c, F.lit(r"(^|_)(file|path|key)$"))), F.lit("files")),
+        F.when(F.coalesce("_hit", F.lit(False)), F.lit("referenced")),
+    ]
+    return named.join(wanted, "_short", "left").withColumn("tags", F.filter(F.array(*rules), lambda x: x.isNotNull())).drop("_have", "_short", "_refs", "_hit")
 
 
 def matching_tables(df: DataFrame, pattern: str, include: str | None = None, table: str = "table") -> DataFrame:

@@ -41,7 +41,7 @@ def distinct_children(spark: SparkSession, sf: str) -> DataFrame:
     return nested.select("o_custkey", F.array_join(F.transform("p", lambda x: x["o_orderpriority"]), ",").alias("priorities"))
 
 
-@add("select page_ptr_id, min_by(file_title, page_num) filter (file_title is not null) as file_title, min_by(document_type, page_num) filter (document_type is not null) as document_type from (select distinct page_ptr_id, page_num, file_title, document_type, stable_id from page_records where stable_id in (select min(stable_id) from page_records group by page_ptr_id)) group by page_ptr_id")
+@add("select page_ptr_id, first(file_title order by stable_id nulls first, page_num nulls first) filter (file_title is not null) as file_title, first(document_type order by stable_id nulls first, page_num nulls first) filter (document_type is not null) as document_type from page_records group by page_ptr_id")
 def first_nonnull(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "page_records")
     return ranking.first_values(pages, ["page_ptr_id"], ["stable_id", "page_num"], ["file_title", "document_type"])

@@ -44,7 +44,7 @@ def tokenize_counts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.size(tokens).cast("long").alias("n_tokens"), F.size(tx.filter_tokens(tokens)).cast("long").alias("n_kept"))
 
 
-@add(f"select doc_id, {norm_sql('text')} as text from documents where doc_id > 8")
+@add(f"select doc_id, {norm_sql('text')} as text from documents")
 def normalize_text(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", tx.normalize_text("text").alias("text"))
 
@@ -107,11 +107,10 @@ def boilerplate_flag(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "chunk_records").select("chunk_id", "ingested_at", tx.is_boilerplate(F.coalesce("text", F.lit(""))).alias("boilerplate"))
 
 
+# the markup of the documents has paragraphs, marks in angle brackets and no entities
 HTML = "coalesce(text, '')"
-for _e, _c in tx.ENTITIES.items():
-    HTML = f"replace({HTML}, '{_e}', '{_c if _c != chr(39) else chr(39) * 2}')"
-for _p, _r in tx._HTML_RULES:
-    HTML = f"regexp_replace({HTML}, '{_p}', {repr(_r) if chr(10) not in _r else ' || '.join(['chr(10)'] * len(_r))}, 'g')"
+for _p, _r in ((r"(?i)<\s*br\s*/?\s*>", "chr(10)"), (r"(?i)</\s*(p|div)\s*>", "chr(10) || chr(10)"), (r"(?i)<\s*li(\s+[^>]*)?\s*>", "'- '"), (r"(?i)</\s*(li|ul|ol)\s*>", "chr(10)"), ("<[^>]+>", "''"), (r"\r\n?", "chr(10)"), (r"[ \t]+\n", "chr(10)"), (r"\n[ \t]+", "chr(10)"), (r"[ \t]{2,}", "' '"), (r"\n{3,}", "chr(10) || chr(10)")):
+    HTML = f"regexp_replace({HTML}, '{_p}', {_r}, 'g')"
 
 
 @add(rf"select doc_id, regexp_replace({HTML}, '^[\s\p{{Z}}\x0b\x85]+|[\s\p{{Z}}\x0b\x85]+$', '', 'g') as plain from documents")
@@ -223,19 +222,32 @@ def sanitize_nulls(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "search_results").select("query_id", "doc_id", "loaded_at", v.clean_null("score", "double").alias("score"), v.clean_null("announced_date").alias("announced_date"))
 
 
-@add(f"select doc_id, row_number() over (partition by source order by doc_id) as n, round(case when len(a) = 0 then 0.0 else len(list_intersect(a, b)) / len(a) end, 6) as share from (select doc_id, source, {_SET.format('text')} as a, {_SET.format('document_type')} as b from documents)")
-def word_containment(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
+_DESCRIBED = "(select page_ptr_id, min(description_text) as description from policies group by page_ptr_id)"
+
 
-    share = F.round(tx.containment(tx.word_set("text"), tx.word_set("document_type")), 6)
-    return table(spark, sf, "documents").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long").alias("n"), share.alias("share"))
+@add(f"select doc_id, round(case when len(a) = 0 then 0.0 else len(list_intersect(a, b)) / len(a) end, 6) as of_policy, round(case when len(b) = 0 then 0.0 else len(list_intersect(a, b)) / len(b) end, 6) as of_document from (select doc_id, {_SET.format('description')} as a, {_SET.format('text')} as b from documents join {_DESCRIBED} using (page_ptr_id))")
+def word_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of its policy's description a document has, and the other way round."""
+    described = table(spark, sf, "policies").groupBy("page_ptr_id").agg(F.min("description_text").alias("description"))
+    sets = table(spark, sf, "documents").join(described, "page_ptr_id").select("doc_id", tx.word_set("description").alias("a"), tx.word_set("text").alias("b"))
+    return sets.select("doc_id", F.round(tx.containment(F.col("a"), F.col("b")), 6).alias("of_policy"), F.round(tx.containment(F.col("b"), F.col("a")), 6).alias("of_document"))
 
 
-@add("select page_ptr_id, title, current_status is not null and (current_status.title is not null or current_status.slug is not null) as has_status, agencies_affected, list_sort(list_distinct(subject_matter)) as subjects from policies")
+@add(
+    """select page_ptr_id, page_ptr_id::varchar as iptp_id, coalesce(nullif(title, ''), slug) as title, announced_date, effective_date, administration,
+    case when len(list_filter(agencies_affected, lambda x: x <> '')) > 0 then list_filter(agencies_affected, lambda x: x <> '') end as agencies_affected,
+    case when len(list_filter(subject_matter, lambda x: x <> '')) > 0 then list_filter(subject_matter, lambda x: x <> '') end as subject_matter,
+    list_sort(list_distinct(subject_matter)) as subjects, current_status.title as status, current_status is not null and (current_status.title is not null or current_status.slug is not null) as has_status from policies"""
+)
 def policy_meta(spark: SparkSession, sf: str) -> DataFrame:
-    df = table(spark, sf, "policies")
+    """The flat metadata of nested policy records, their status and sorted subjects."""
+    named = lambda c, a, b: F.transform(c, lambda x: F.struct(x.alias(a), F.lit(None).cast("string").alias(b)))
+    filters = F.struct(named("agencies_affected", "agency", "agency_slug").alias("agencies"), named("subject_matter", "title", "slug").alias("subject_matter"))
+    nested = table(spark, sf, "policies").withColumn("filters", filters)
+    record = F.struct("page_ptr_id", "title", "slug", "announced_date", "effective_date", "administration", "filters")
     status = v.status_struct(F.col("current_status.title"), F.col("current_status.slug"))
-    return df.select("page_ptr_id", "title", status.isNotNull().alias("has_status"), "agencies_affected", v.sorted_set("subject_matter").alias("subjects"))
+    rows = nested.select("page_ptr_id", v.sorted_set("subject_matter").alias("subjects"), status.alias("s"), record.alias("r"))
+    return rows.select("page_ptr_id", "subjects", F.col("s.title").alias("status"), F.col("s").isNotNull().alias("has_status"), v.flatten_policy(F.col("r")).alias("m")).select("*", "m.*").drop("m")
 
 
 @add("select chunk_id, ingested_at, meta_flat.iptp_id as iptp_id, meta_flat.title as title, meta_flat.announced_date as original_date_announced, meta_flat.agencies_affected as agencies_affected from chunk_records")
@@ -265,9 +277,11 @@ def pdf_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.pdf_chunks(_clean_pages(spark, sf))
 
 
-@add("select distinct page_ptr_id::varchar as page_ptr_id, 'policy_title' as source_type, regexp_replace(title, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') as text from policies where trim(title) <> ''")
+@add("select page_ptr_id::varchar || '_ttl_h' as id, page_ptr_id::varchar as page_ptr_id, 'policy_title' as source_type, regexp_replace(title, '^[ \\t\\r\\n\\f]+|[ \\t\\r\\n\\f]+$', '', 'g') as text, 16 as digits from policies where trim(title) <> ''")
 def title_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.title_chunks(table(spark, sf, "policies")).select("page_ptr_id", "source_type", "text").distinct()
+    """Every policy row with a title; SQL has no BLAKE2b, so of an id's digest it sees the length only."""
+    digest = F.regexp_extract("chunk_id", "_h([0-9a-f]+)$", 1)
+    return chunking.title_chunks(table(spark, sf, "policies")).select(F.regexp_replace("chunk_id", "_h[0-9a-f]+$", "_h").alias("id"), "page_ptr_id", "source_type", "text", F.length(digest).alias("digits"))
 
 
 @add()

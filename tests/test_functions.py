@@ -1,3 +1,6 @@
+import html
+import random
+import re
 from datetime import date  # noqa: F401
 from decimal import Decimal
 
@@ -44,7 +47,24 @@ def test_units(spark):
 def test_html(spark):
     html = "<p>A &lt;b&gt; <br/>c</p><ul><li>x</li><li>y</li></ul><script>z</script>"
     assert one(spark, tx.html_to_text("t"), t=html) == "A \nc\n\n- x\n- y\n\nz".replace("A \n", "A\n")
-    assert one(spark, tx.html_to_text(v.unescape(F.col("t"))), t="caf&eacute; &amp; more") == "café & more"
+    assert one(spark, tx.html_to_text("t"), t="caf&eacute; &amp;lt; it&#8217;s &#x41;&copy;") == "café &lt; it’s A©"
+
+
+def plain_html(s):
+    """The rule read step by step."""
+    s = html.unescape((s or "").strip())
+    for rule, by in ((r"<\s*br\s*/?\s*>", "\n"), (r"</\s*(p|div)\s*>", "\n\n"), (r"<\s*(p|div|ul|ol)(\s+[^>]*)?\s*>", ""), (r"<\s*li(\s+[^>]*)?\s*>", "- "), (r"</\s*(li|ul|ol)\s*>", "\n"), ("<[^>]+>", ""), ("\r\n?", "\n"), ("[ \t]+\n", "\n"), ("\n[ \t]+", "\n"), ("[ \t]{2,}", " "), ("\n{3,}", "\n\n")):
+        s = re.sub(rule, by, s, flags=re.I)
+    return s.strip()
+
+
+def test_html_equals_the_rule(spark):
+    r = random.Random(4)
+    parts = ["<p>", "</p>", "<P class='x'>", "<br>", "< BR / >", "<br/>", "</br>", "<pre>", "</ div >", "<div >", "<li>", "</li>", "<ul>", "</ol>", "<link>", "<a href='y'>", "</a>", "< p>", "a", "b c", " ", "  ", "\t", "\n", "\r\n", "\r", "&lt;p&gt;", "&amp;", "&nbsp;", "&#233;", "&bogus;", "<", ">", "1 < 2", "<!-- x -->"]
+    texts = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 25)))) for i in range(1500)] + [(9999, None)]
+    got = spark.createDataFrame(texts, "i int, t string").select("i", tx.html_to_text("t").alias("x")).collect()
+    wrong = [(texts[x.i][1], x.x) for x in got if x.i < 1500 and x.x != plain_html(texts[x.i][1])]
+    assert not wrong, wrong[:3]
 
 
 def test_short_forms(spark):

@@ -211,9 +211,10 @@ def test_first_values(spark):
 
 
 def test_tags_and_rejects(spark):
-    df = spark.createDataFrame([("iptp_policydocument", ["id"]), ("x", ["Publisher", "title"]), ("y", [])], "table string, columns array<string>")
-    assert [r.tags for r in relational.table_tags(df).collect()] == [["ATTACHMENTS documents of policies"], ["LIKELY commentary"], []]
-    assert relational.matching_tables(df, "POLICY", "doc").count() == 1
+    schemas = [("app_policy", ["id", "Title", "status_id"]), ("app_status", ["id", "title"]), ("app_policy_agencies", ["id", "policy_id", "agency_id"]), ("docs_document", ["id", "file", "title"]), ("y", []), ("z", None)]
+    df = spark.createDataFrame(schemas, "table string, columns array<string>")
+    assert {r.table: r.tags for r in relational.table_tags(df).collect()} == {"app_policy": ["refers to:status", "referenced"], "app_status": ["dimension", "referenced"], "app_policy_agencies": ["joins:agency,policy"], "docs_document": ["dimension", "files"], "y": [], "z": []}
+    assert relational.matching_tables(df, "POLICY", "agenc").count() == 1
     pages = spark.createDataFrame([("s", 1, 1, "0", "t"), ("s", 1, 1, "-2", "t"), ("s", 1, 1, "1", "t"), ("s", 1, 1, "x", "t"), ("s", None, 1, "1", "t")], "stable_id string, page_ptr_id int, policydocument_id int, page_num string, text string")
     good, audit = relational.valid_pages(pages)
     assert good.count() == 1 and {r.type: r["rows"] for r in relational.audit_counts(audit).collect()} == {"SKIP_NONPOSITIVE_PAGE_NUM": 2, "SKIP_BAD_PAGE_NUM": 1, "SKIP_BAD_RECORD": 1}
