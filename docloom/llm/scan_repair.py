@@ -242,6 +242,16 @@ class Lexicon:
         self.counts, self.real, self.neighbours, self.stroked, self.channel = counts, real, neighbours, stroked, channel
         self.keys, self.numbers = bigrams
         self.known: dict[str, tuple] = {}
+        #: tokens that stay as they are wherever they stand
+        self.calm: set[str] = set()
+
+    def needs_nothing(self, token: str, known: tuple) -> bool:
+        if len(self.calm) > 500_000:
+            self.calm.clear()
+        _, word, _, low, spoken, other = known
+        if token in ("-", "–"):
+            return False
+        return not spoken or not other and not ("-" in low and low not in self.counts) and not ("I" in word[1:] and not word.isupper())
 
     def token(self, token: str) -> tuple[str, str, str, str, bool, bool]:
         """Outer signs, the word, outer signs, the word in lower case, whether it is one and whether it may be another."""
@@ -412,7 +422,11 @@ def repair(text: str, kinds: dict[int, str], lex: Lexicon, after: str | None, be
         words = toks[1:] if first else toks
         if end is not None and words:
             words = words[:-1]
+        if lex.calm.issuperset(words):
+            done.append([*words, end] if end is not None else words)
+            continue
         plain = [lex.token(t) for t in words]
+        lex.calm.update(t for t, x in zip(words, plain, strict=True) if lex.needs_nothing(t, x))
         spoken = [k for k, t in enumerate(plain) if t[4]]
         fixed = lex.decode([plain[k][3] for k in spoken])
         out = list(words)
@@ -471,32 +485,48 @@ def _tasks(df: DataFrame) -> int:
 
 
 class Counts:
-    """Words and bigrams (prev null or the word before) of lines, broken words aside."""
+    """Words and bigrams (prev null or the word before) of lines, broken words aside.
+
+    Tokens are counted as they stand; their words are taken of the different ones only, when the counts are handed on.
+    """
 
     def __init__(self) -> None:
-        self.words: Counter[str] = Counter()
+        self.tokens: Counter[str] = Counter()
         self.pairs: Counter[tuple[str, str]] = Counter()
 
     def add(self, lines: list[str]) -> None:
-        cut, first = True, True  # the first word of a page may be the end of another
+        cut, first, every = True, True, []  # the first word of a page may be the end of another
         for line in lines:
-            toks = tokens(line)
-            ends = broken(line) is not None
-            kept = [w if len(w) <= 60 and is_word(w) else "" for w in map(_low, toks)]
-            if kept and (cut or first):
-                kept[0] = ""
-            if kept and ends:
-                kept[-1] = ""
-            self.words.update(kept)
-            self.pairs.update(zip(kept, kept[1:], strict=False))
+            toks = line.split()
+            if not toks:
+                continue
+            last = toks[-1]
+            ends = len(last) > 1 and last[-1] in HYPHENS and last[-2].isalpha()
+            if cut or first:
+                toks[0] = ""
+            if ends:
+                toks[-1] = ""
+            every += toks
+            every.append("")
             cut, first = ends, False
+        self.tokens.update(every)
+        self.pairs.update(zip(every, every[1:], strict=False))
+
+    def __len__(self) -> int:
+        return len(self.tokens) + len(self.pairs)
 
     def flush(self) -> tuple[list, list, list]:
-        self.words.pop("", None)
-        pairs = [(k, n) for k, n in self.pairs.items() if k[0] and k[1]]
-        out = [None] * len(self.words) + [k[0] for k, _ in pairs], [*self.words, *(k[1] for k, _ in pairs)], [*self.words.values(), *(n for _, n in pairs)]
+        word = {t: w if len(w) <= 60 and is_word(w) else "" for t, w in ((t, _low(t)) for t in self.tokens)}
+        words: Counter[str] = Counter()
+        pairs: Counter[tuple[str, str]] = Counter()
+        for t, n in self.tokens.items():
+            words[word[t]] += n
+        for (a, b), n in self.pairs.items():
+            if word[a] and word[b]:
+                pairs[word[a], word[b]] += n
+        words.pop("", None)
         self.__init__()
-        return out
+        return [None] * len(words) + [k[0] for k in pairs], [*words, *(k[1] for k in pairs)], [*words.values(), *pairs.values()]
 
 
 @lru_cache(1 << 17)
@@ -554,7 +584,7 @@ def _read(df: DataFrame) -> DataFrame:
                     if len(done) >= 500:
                         yield batch(done)
                         done = []
-                        if len(counts.words) + len(counts.pairs) > 400_000:
+                        if len(counts) > 600_000:
                             yield batch([], counts.flush())
                 rows.append((page, text, at))
         if group is not None:
