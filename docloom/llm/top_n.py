@@ -2,8 +2,11 @@
 
 Every partition finds its local N best of each group; the N-th of them is a lower bound for the group,
 since N rows at least as good exist. The largest bound of a group over all partitions is joined to
-the group's rows, rows below it are filtered, and the survivors are ranked. At most N rows per group and
-partition are shuffled, so a group with a third of all rows costs no more than any other.
+the group's rows, rows below it are filtered, and only the survivors are shuffled and ranked.
+
+The bounds are aggregated first, so their number is known: up to BOUNDS they are sent to all tasks and rows are filtered before any of them is shuffled;
+beyond, groups are so many that most have few rows, and the join by group is the one shuffle that the ranking uses too.
+At most N rows per group and partition go on from the first step, so a group with a third of all rows costs no more than any other.
 
 Defined results: rows whose first order column is null or NaN aren't ranked; in the other order columns null and
 NaN come last, for either direction; null group keys form groups of their own; rows equal in group and order
@@ -22,8 +25,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docloom.session import materialise
+
 #: Rows that a task holds before it prunes them.
 HELD = 200_000
+#: Groups with a bound up to which the bounds are broadcast (some tens of bytes each).
+BOUNDS = 500_000
 
 
 def _best(table: pa.Table, groups: int, keys: list[tuple[str, str]], n: int) -> pa.Table:
@@ -84,7 +91,7 @@ def top_n(df: DataFrame, group_by: list[str], order_by: list[tuple[str, str]], n
             yield from _best(pa.concat_tables(held), len(group_by), sort, n).to_batches()
 
     schema = T.StructType([*rows.schema.fields, T.StructField("nth", T.BooleanType())])
-    survivors = rows.mapInArrow(local, schema)
+    survivors = materialise(rows.mapInArrow(local, schema), "local_best")
 
     # larger is better in every field of the bound, and null is the least
     def ascending(c: str, how: str):
@@ -94,12 +101,23 @@ def top_n(df: DataFrame, group_by: list[str], order_by: list[tuple[str, str]], n
 
     key = F.struct(*(ascending(f"o{i}", how).alias(f"b{i}") for i, (_, how) in enumerate(order_by)))
     groups = [f"k{i}" for i in range(len(group_by))]
+    good = _above(survivors.withColumn("key", key), groups)
     order = [F.col(f"o{i}").desc_nulls_last() if how == "desc" else F.col(f"o{i}").asc_nulls_last() for i, (_, how) in enumerate(order_by)]
-    copies = [F.col(f"c{i}").asc_nulls_last() for i in range(len(carry))]
-    # the join with the largest bound is a window over the one shuffle by group, which the ranking uses too
-    whole = Window.partitionBy(*groups).orderBy(*order, *copies)
-    bounded = survivors.withColumn("key", key).withColumn("bound", F.max(F.when(F.col("nth"), F.col("key"))).over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    good = bounded.where("bound is null or key >= bound")
-    once = good.withColumn("copy", F.lag("key").over(whole).eqNullSafe(F.col("key")) & (F.row_number().over(whole) > 1)).where("not copy")
-    ranked = once.withColumn("place", F.row_number().over(whole)).where(F.col("place") <= n)
-    return ranked.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(group_by)), *(F.col(f"o{i}").alias(c) for i, (c, _) in enumerate(order_by)), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "place")
+    place = F.dense_rank().over(Window.partitionBy(*groups).orderBy(*order))
+    ranked = good.select(*rows.columns, place.alias("place")).where(F.col("place") <= n)
+    # rows that are equal but for what they carry came from several partitions
+    copies = [F.col(f"c{i}").asc_nulls_last() for i in range(len(carry))] or [F.col("place")]
+    once = ranked.withColumn("copy", F.row_number().over(Window.partitionBy(*groups, "place").orderBy(*copies))).where("copy = 1")
+    return once.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(group_by)), *(F.col(f"o{i}").alias(c) for i, (c, _) in enumerate(order_by)), *(F.col(f"c{i}").alias(c) for i, c in enumerate(carry)), "place")
+
+
+def _above(survivors: DataFrame, groups: list[str]) -> DataFrame:
+    """Rows that aren't below the largest bound of their group; groups without a bound keep all."""
+    bounds = survivors.where("nth").groupBy(*(F.col(c).alias(f"b_{c}") for c in groups)).agg(F.max("key").alias("bound"))
+    bounds = materialise(bounds, "bounds")
+    same = F.lit(True)
+    for c in groups:
+        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    few = bounds.count() <= BOUNDS
+    joined = survivors.join(F.broadcast(bounds) if few else bounds, same, "left")
+    return joined.where("bound is null or key >= bound").select(survivors.columns)

@@ -53,3 +53,27 @@ def test_clashing_names_carry_and_empty(spark):
 def test_extreme_integers(spark):
     df = spark.createDataFrame([(1, -(2**63)), (1, 2**63 - 1), (1, 0)], "g int, v long")
     assert [x.v for x in top_n.top_n(df, ["g"], [("v", "asc")], 2).orderBy("place").collect()] == [-(2**63), 0]
+
+
+def test_bounds_act_before_the_shuffle(spark, monkeypatch):
+    """Without the bound every partition would pass on its best 5 of each group; with it hardly more than 5 of all go on."""
+    rows = [(i % 4, "a", i, float(i * 7919 % 10_007), None) for i in range(8000)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(16)
+    seen = []
+    above = top_n._above
+
+    def counted(survivors, groups):
+        out = above(survivors, groups)
+        seen.append((survivors.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(top_n, "_above", counted)
+    for bounds in (top_n.BOUNDS, 0):
+        monkeypatch.setattr(top_n, "BOUNDS", bounds)
+        result = top_n.top_n(df, ["query_id", "retriever"], ORDER, 5)
+        assert sorted((x.query_id, x.retriever, x.doc_id) for x in result.collect()) == brute(rows, 5)
+        held, passed = seen[-1]
+        assert held == 16 * 4 * 5 and passed < held / 2
+        plan = result._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        if bounds:  # the join with the bounds stands below the one exchange by group
+            assert plan.index("hashpartitioning(k0") < plan.index("BroadcastHashJoin") and plan.count("hashpartitioning(k0") == 1
