@@ -1,9 +1,10 @@
 """Splitting oversized texts at natural boundaries, by ranges.
 
 A text, or a file too large to load, is cut into ranges. Workers detect the boundaries in their range; a halo
-on either side shows them what a boundary at the range's edge looks like. The boundary tables
-of a text are stitched with prefix sums of the ranges' lengths, the cuts are chosen over the stitched table alone,
-and the pieces are emitted by offset from the one or two ranges that each touches. No worker needs the whole text.
+on either side shows them what a boundary at the range's edge looks like: it reaches over the whole run of white space and closing signs
+there, however long, and HALO characters beyond. The boundary tables of a text, two bytes a boundary, are then streamed in the order of the ranges: their lengths are
+summed up, the cuts are chosen as the boundaries come by, and a task holds those within one limit only, neither a text nor its table.
+The pieces are emitted by offset from the ranges that each touches. No worker needs the whole text.
 
 A piece ends at the last paragraph end in the second half of what the limit allows, else at the last sentence
 end there, clause end, word end, else at such ends in the first half, else (one endless word) at the limit. Every further
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from docloom.session import materialise
 
-RANGE, HALO, CELL = 65_536, 64, 32
+RANGE, HALO = 65_536, 64
 BLANKS = " \t\r\n\f"
 #: Ends of paragraphs, sentences, clauses and words, each with the white space behind it.
 ENDS = [
@@ -39,43 +40,84 @@ ENDS = [
 ]
 
 
+#: What a boundary's signs and white space are made of.
+LOOSE = re.compile(r"[\s\"'”’)\]]")
+
+
 def boundaries(left: str, core: str, right: str) -> list[np.ndarray]:
-    """Offsets in ``core`` (1 to its length) after which a paragraph, sentence, clause or word ends."""
+    """Places in ``core`` (1 to its length) after which a paragraph, sentence, clause or word ends."""
     text, base = left + core + right, len(left)
     out = []
-    for kind, rx in enumerate(ENDS):
+    for rx in ENDS:
         at = np.fromiter((m.end() - base for m in rx.finditer(text)), np.int64)
-        at = at[(at > 0) & (at <= len(core))]
-        if kind == 3 and len(at):  # the first and the last of each cell are enough to find one below any limit
-            cell = (at - 1) // CELL
-            edge = np.r_[True, cell[1:] != cell[:-1]]
-            at = at[edge | np.r_[edge[1:], True]]
-        out.append(at)
+        out.append(at[(at > 0) & (at <= len(core))])
     return out
 
 
-def choose(ends: list[np.ndarray], length: int, limit: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of every piece of a text of ``length`` with boundaries ``ends``."""
-    every = np.unique(np.concatenate(ends)) if ends else np.empty(0, np.int64)
-
-    def last(low: int, high: int) -> int | None:
+class Cuts:
+    """Chooses the pieces of one text while its ranges come by; holds the boundaries of one piece's reach."""
+
+    def __init__(self, limit: int, overlap: int):
+        self.limit, self.overlap = limit, overlap
+        self.length = self.start = self.done = self.no = 0
+        self.ends: list[np.ndarray] = [np.empty(0, np.int64)] * len(ENDS)
+        self.breaks, self.passed = np.empty(0, np.int64), 0
+        self.ranges: list[tuple[int, int, int, int]] = []  # ordinal, number, offset, length of those not yet left behind
+
+    def add(self, range_no: int, ends: list[np.ndarray], length: int, breaks: np.ndarray) -> list[tuple]:
+        """Parts of the pieces that are certain now."""
+        self.ranges.append((self.ranges[-1][0] + 1 if self.ranges else 0, range_no, self.length, length))
+        self.ends = [np.concatenate([a, b + self.length]) for a, b in zip(self.ends, ends, strict=True)]
+        self.breaks = np.concatenate([self.breaks, breaks + self.length])
+        self.length += length
+        return self._pieces()
+
+    def _pieces(self) -> list[tuple]:
+        out: list[tuple] = []
+        while self.length - self.start > self.limit:
+            start, limit = self.start, self.limit
+            half = max(self.done, start + limit // 2)
+            cut = self._last(half, start + limit) or self._last(self.done, half) or start + limit
+            out += self._piece(start, cut)
+            begin = cut - self.overlap
+            firsts = [int(at[i]) for at in self.ends if (i := int(np.searchsorted(at, begin))) < len(at) and at[i] < cut]
+            self.start, self.done = max(min(firsts, default=begin), start + 1), cut
+        low = self.start - 1
+        self.ends = [at[np.searchsorted(at, low) :] for at in self.ends]
+        while len(self.ranges) > 1 and self.ranges[0][2] + self.ranges[0][3] <= self.start:
+            self.ranges.pop(0)
+        return out
+
+    def finish(self) -> list[tuple]:
+        return self._piece(self.start, self.length)
+
+    def _last(self, low: int, high: int) -> int | None:
         """The last end of the best kind in (low, high]."""
-        for at in ends:
+        for at in self.ends:
             i = int(np.searchsorted(at, high, "right")) - 1
             if i >= 0 and at[i] > low:
                 return int(at[i])
         return None
 
-    pieces, start, done = [], 0, 0
-    while length - start > limit:
-        half = max(done, start + limit // 2)
-        cut = last(half, start + limit) or last(done, half) or start + limit
-        pieces.append((start, cut))
-        i = int(np.searchsorted(every, cut - overlap))
-        begin = int(every[i]) if i < len(every) and every[i] < cut else cut - overlap
-        start, done = max(begin, start + 1), cut
-    pieces.append((start, length))
-    return pieces
+    def _piece(self, start: int, end: int) -> list[tuple]:
+        """piece_no, part, range_no, low, high, breaks before the piece."""
+        self.no += 1
+        gone = int(np.searchsorted(self.breaks, start))
+        self.breaks, self.passed = self.breaks[gone:], self.passed + gone
+        return [(self.no, part, no, max(0, start - offset), min(length, end - offset), self.passed) for part, no, offset, length in self.ranges if offset < end and offset + length > start]
+
+
+def choose(ends: list[np.ndarray], length: int, limit: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of every piece of a text of ``length`` with boundaries ``ends``."""
+    cuts = Cuts(limit, overlap)
+    return [(low, high) for _, _, _, low, high, _ in [*cuts.add(0, ends, length, np.empty(0, np.int64)), *cuts.finish()]]
+
+
+def _halo_left(text: str, at: int) -> int:
+    """Where the halo before ``at`` begins."""
+    while at > 0 and LOOSE.match(text[at - 1]):
+        at -= 1
+    return max(0, at - HALO)
 
 
 def text_ranges(df: DataFrame, id_col: str, text_col: str, size: int = RANGE) -> DataFrame:
@@ -87,7 +129,7 @@ def text_ranges(df: DataFrame, id_col: str, text_col: str, size: int = RANGE) ->
                 starts = range(0, len(text), size)
                 for s in range(0, len(starts), 64):
                     part = starts[s : s + 64]
-                    cols = [[key] * len(part), [x // size for x in part], [text[max(0, x - HALO) : x] for x in part], [text[x : x + size] for x in part], [text[x + size : x + size + HALO] for x in part]]
+                    cols = [[key] * len(part), [x // size for x in part], [text[_halo_left(text, x) : x] for x in part], [text[x : x + size] for x in part], [text[x + size : x + size + HALO] for x in part]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], names=["id", "range_no", "left", "core", "right"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, "id string, range_no int, left string, core string, right string")
@@ -113,16 +155,23 @@ def file_ranges(spark: SparkSession, paths: list[str], size: int = RANGE) -> Dat
                 at += 1
             return at
 
+        text = lambda x: x.decode("utf-8", "replace").replace("\x00", "�")
         for pdf in batches:
             for path, no in zip(pdf["id"], pdf["range_no"], strict=True):
                 where, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
                 with where.open_input_file(name) as f:
-                    begin = max(0, no * size - 4 * HALO)
-                    raw = f.read_at(size * (no + 1) + 4 * HALO - begin, begin)
-                low, high = aligned(raw, no * size - begin), aligned(raw, min(len(raw), (no + 1) * size - begin))
-                text = lambda x: x.decode("utf-8", "replace").replace("\x00", "�")
-                left, right = text(raw[aligned(raw, 0) : low]), text(raw[high:])
-                yield pd.DataFrame({"id": [path], "range_no": [no], "left": [left[-HALO:]], "core": [text(raw[low:high])], "right": [right[:HALO]]})
+                    back = 4 * HALO
+                    while True:
+                        begin = max(0, no * size - back)
+                        raw = f.read_at(size * (no + 1) + 4 * HALO - begin, begin)
+                        low = aligned(raw, no * size - begin)
+                        left = text(raw[aligned(raw, 0) if begin else 0 : low])
+                        at = _halo_left(left, len(left))
+                        if at > 0 or begin == 0:
+                            break
+                        back *= 4
+                high = aligned(raw, min(len(raw), (no + 1) * size - begin))
+                yield pd.DataFrame({"id": [path], "range_no": [no], "left": [left[at:]], "core": [text(raw[low:high])], "right": [text(raw[high:])[:HALO]]})
 
     files = spark.createDataFrame([(p,) for p in paths], "id string")
     ranges = files.mapInPandas(plan, "id string, range_no int")
@@ -135,36 +184,50 @@ def pieces_of(ranges: DataFrame, limit: int = 2000, overlap: int = 200) -> DataF
         raise ValueError("the overlap must be below half the limit")
     ranges = materialise(ranges, "ranges")
 
+    names = ["p", "s", "c", "w"]
+
     def detect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["p", "s", "c", "w"]
             out: dict[str, list] = {n: [] for n in [*names, "length", "breaks"]}
             for left, core, right in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                kind = np.uint16 if len(core) <= 65_536 else np.uint32
                 for n, at in zip(names, boundaries(left, core, right), strict=True):
-                    out[n].append(at)
+                    out[n].append((at - 1).astype(kind).tobytes())
                 out["length"].append(len(core))
-                out["breaks"].append([m.start() for m in re.finditer("\f", core)])
-            arrays = [pa.array(out[n], pa.list_(pa.int64())) for n in names] + [pa.array(out["length"], pa.int64()), pa.array(out["breaks"], pa.list_(pa.int64()))]
+                out["breaks"].append(np.array([m.start() for m in re.finditer("\f", core)], kind).tobytes())
+            arrays = [pa.array(out[n], pa.binary()) for n in names] + [pa.array(out["length"], pa.int64()), pa.array(out["breaks"], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "range_no", *names, "length", "breaks"])
 
-    found = ranges.repartition("id", "range_no").mapInArrow(detect, "id string, range_no int, p array<long>, s array<long>, c array<long>, w array<long>, length long, breaks array<long>")
-
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("range_no")
-        lengths = pdf["length"].to_numpy()
-        offsets = np.r_[0, np.cumsum(lengths)]
-        glue = lambda c: np.concatenate([np.asarray(x, np.int64) + o for x, o in zip(pdf[c], offsets[:-1], strict=True)])
-        breaks = glue("breaks")
-        rows = []
-        for no, (start, end) in enumerate(choose([glue(c) for c in "pscw"], int(offsets[-1]), limit, overlap), 1):
-            low = int(np.searchsorted(offsets, start, "right")) - 1
-            for part in range(low, len(lengths)):
-                if offsets[part] >= end:
-                    break
-                rows.append((pdf["id"].iloc[0], no, part, int(pdf["range_no"].iloc[part]), max(0, start - int(offsets[part])), min(int(lengths[part]), end - int(offsets[part])), int(np.searchsorted(breaks, start))))
-        return pd.DataFrame(rows, columns=["id", "piece_no", "part", "range_no", "low", "high", "breaks_before"])
-
-    cuts = found.groupBy("id").applyInPandas(stitch, "id string, piece_no int, part int, range_no int, low int, high int, breaks_before int")
+    tasks = max(int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges.sparkSession.sparkContext.defaultParallelism)
+    found = ranges.repartition(tasks, "id", "range_no").mapInArrow(detect, "id string, range_no int, p binary, s binary, c binary, w binary, length long, breaks binary")
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, cuts, rows = None, None, []
+        columns = ["id", "piece_no", "part", "range_no", "low", "high", "breaks_before"]
+        types = [pa.string()] + [pa.int32()] * 6
+
+        def batch_of() -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(columns)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=columns)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, no, *blobs, length, breaks = (batch.column(c)[i].as_py() for c in range(8))
+                if key != last:
+                    if cuts is not None:
+                        rows += [(last, *r) for r in cuts.finish()]
+                    last, cuts = key, Cuts(limit, overlap)
+                kind = np.uint16 if length <= 65_536 else np.uint32
+                read = lambda x, kind=kind: np.frombuffer(x, kind).astype(np.int64)
+                rows += [(key, *r) for r in cuts.add(no, [read(x) + 1 for x in blobs], length, read(breaks))]
+                if len(rows) > 20_000:
+                    yield batch_of()
+                    rows = []
+        if cuts is not None:
+            rows += [(last, *r) for r in cuts.finish()]
+        yield batch_of()
+
+    cuts = found.repartition(tasks, "id").sortWithinPartitions("id", "range_no").mapInArrow(stitch, "id string, piece_no int, part int, range_no int, low int, high int, breaks_before int")
     parts = cuts.join(ranges.select("id", "range_no", "core"), ["id", "range_no"]).select("id", "piece_no", "breaks_before", "part", F.expr("substring(core, low + 1, high - low)").alias("t"))
     whole = parts.groupBy("id", "piece_no", "breaks_before").agg(F.array_sort(F.collect_list(F.struct("part", "t"))).alias("x"))
     return whole.select("id", "piece_no", F.array_join(F.transform("x", lambda x: x["t"]), "").alias("text"), "breaks_before")

@@ -68,3 +68,36 @@ def test_files_by_byte_ranges(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(text.encode())
     got = splitting.pieces_of(splitting.file_ranges(spark, [str(tmp_path / "a.txt")], size=301), limit=300, overlap=40).orderBy("piece_no").collect()
     check(text, [r.text for r in got], 300, 40)
+
+
+def test_long_blanks_at_the_edges_of_ranges(spark, tmp_path):
+    r = random.Random(9)
+    blank = lambda: "".join(r.choice(" \n\t\r\f") if r.random() < 0.1 else " " for _ in range(r.choice([1, 1, 1, 2, 90, 150, 400])))
+    rows = [(f"t{i}", "".join("".join(r.choice("abcdé") for _ in range(r.randint(1, 9))) + r.choice(["", ".", ",", '.")', "A.", " 7."]) + blank() for _ in range(1500)), None, None, 0) for i in range(4)]
+    found = [pieces(spark, rows, limit=500, overlap=60, range_size=s) for s in (300, 4096, 65_536)]
+    plain = [{k: [x.text for x in v] for k, v in f.items()} for f in found]
+    assert plain[0] == plain[1] == plain[2] and len(plain[0]) == 4
+    text = rows[0][1]
+    (tmp_path / "a.txt").write_bytes(text.encode())
+    got = [[x.text for x in splitting.pieces_of(splitting.file_ranges(spark, [str(tmp_path / "a.txt")], size=s), limit=500, overlap=60).orderBy("piece_no").collect()] for s in (301, 10**6)]
+    assert got[0] == got[1]
+
+
+def test_the_last_word_end_is_taken():
+    for limit, first in ((2000, 1998), (307, 306)):
+        text = "ab " * 3000
+        assert splitting.choose(splitting.boundaries("", text, ""), len(text), limit, 20)[0] == (0, first)
+
+
+def test_a_stream_of_ranges_is_held_for_one_limit_only():
+    r = random.Random(2)
+    text = "".join("".join(r.choice("abcde") for _ in range(r.randint(1, 9))) + r.choice([" ", ". ", "\n\n"]) for _ in range(40_000))
+    cuts, rows, most = splitting.Cuts(2000, 200), [], 0
+    for no, at in enumerate(range(0, len(text), 1000)):
+        ends = splitting.boundaries(text[max(0, at - 64) : at], text[at : at + 1000], text[at + 1000 : at + 1064])
+        rows += cuts.add(no, ends, len(text[at : at + 1000]), splitting.np.empty(0, splitting.np.int64))
+        most = max(most, sum(map(len, cuts.ends)) + len(cuts.ranges))
+    rows += cuts.finish()
+    whole = splitting.choose(splitting.boundaries("", text, ""), len(text), 2000, 200)
+    assert len({x[0] for x in rows}) == len(whole) and most < 3000
+    assert sum(x[4] - x[3] for x in rows) == sum(b - a for a, b in whole)
