@@ -4,9 +4,9 @@ Each score becomes its empirical percentile within the group (ties get the avera
 through the inverse normal distribution, and the weighted mean of these normal scores gives the order.
 Only ranks matter, so neither a score's range nor an extreme value can outweigh the others.
 
-Ranks are distributed: rows are counted by value first, so ties are one row; a group with more than ``BIG``
-different values is cut at approximate quantiles into buckets that are ranked apart and shifted by the
-bucket totals. The quantiles only balance the buckets, the ranks are exact.
+Groups of up to ``BIG`` items are ranked by windows over one shuffle by group, a sort a score. In larger groups (one may hold a third of all items) rows are counted
+by value first, so ties are one row, and values are cut at approximate quantiles into buckets that are ranked apart and shifted by the
+bucket totals. The quantiles only balance the buckets; the ranks of both ways are exact and equal.
 
 Defined results: null and NaN scores share the lowest ranks of their score, so a missing score is no advantage;
 an item repeated within a group counts once, with the largest of each score; rows with a null group or item take
@@ -45,6 +45,14 @@ def inverse_normal(p: Column) -> Column:
     return F.when(F.abs(q) <= 0.47575, q * poly(A, r) / poly(B, r)).when(q < 0, outer).otherwise(-outer)
 
 
+def by_size(df: DataFrame, group: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of up to BIG rows, and those of the larger ones, or None where there are none."""
+    large = materialise(df.groupBy(group).agg(F.count("*").alias("rows")).where(F.col("rows") > BIG).select(group), "large")
+    if large.isEmpty():
+        return df, None
+    return df.join(large, group, "left_anti"), df.join(large, group, "left_semi")
+
+
 def average_ranks(df: DataFrame, group_by: list[str], value: str) -> DataFrame:
     """group columns, value, rank (average over ties, from 1), ties and n, one row a distinct non-null value."""
     counts = materialise(df.where(F.col(value).isNotNull()).groupBy(*group_by, value).agg(F.count("*").alias("ties")), "values")
@@ -67,6 +75,19 @@ def fused_scores(df: DataFrame, group_by: str, item: str, scores: dict[str, floa
     clean = [F.max(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"s{i}") for i, c in enumerate(scores)]
     items = df.select(F.col(group_by).alias("g"), F.col(item).alias("i"), *scores).where("g is not null and i is not null").groupBy("g", "i").agg(*clean)
     items = materialise(items, "items")
+    small, large = by_size(items, "g")
+    n, total = F.count("*").over(Window.partitionBy("g")), float(sum(scores.values()))
+    fused, ranked = F.lit(0.0), small.withColumn("n", n)
+    for k, weight in enumerate(scores.values()):
+        w = Window.partitionBy("g").orderBy(F.col(f"s{k}").asc_nulls_first())
+        # the average over ties is the mean of the first and the last of their ranks
+        ranked = ranked.withColumn(f"p{k}", ((F.rank().over(w) + F.round(F.cume_dist().over(w) * F.col("n"))) / 2 - 0.5) / F.col("n"))
+        fused = fused + F.lit(float(weight)) * inverse_normal(F.col(f"p{k}"))
+    out = ranked.select(F.col("g").alias(group_by), F.col("i").alias(item), F.round(fused / total, 9).alias("fused"))
+    return out if large is None else out.unionByName(_fused_large(large, scores).select(F.col("g").alias(group_by), F.col("i").alias(item), "fused"))
+
+
+def _fused_large(items: DataFrame, scores: dict[str, float]) -> DataFrame:
     long = items.select("g", "i", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"s{k}").alias("v")) for k in range(len(scores))))).alias("x")).select("g", "i", "x.kind", "x.v")
     totals = long.groupBy("g", "kind").agg(F.count("*").alias("total"), F.count_if(F.col("v").isNull()).alias("missing"))
     ranks = average_ranks(long, ["g", "kind"], "v").select("g", "kind", "v", "rank")
@@ -75,14 +96,18 @@ def fused_scores(df: DataFrame, group_by: str, item: str, scores: dict[str, floa
     known = long.where("v is not null").join(ranks, ["g", "kind", "v"]).select("g", "i", "kind", "rank")
     every = known.unionByName(long.where("v is null").select("g", "i", "kind", F.lit(None).cast("double").alias("rank"))).join(totals, ["g", "kind"])
     percentile = (F.coalesce(F.col("rank") + F.col("missing"), (F.col("missing") + 1) / 2) - 0.5) / F.col("total")
-    return every.groupBy("g", "i").agg(F.round(F.sum(weights * inverse_normal(percentile)) / float(sum(scores.values())), 9).alias("fused")).select(F.col("g").alias(group_by), F.col("i").alias(item), "fused")
+    return every.groupBy("g", "i").agg(F.round(F.sum(weights * inverse_normal(percentile)) / float(sum(scores.values())), 9).alias("fused"))
 
 
 def fuse(df: DataFrame, group_by: str, item: str, scores: dict[str, float]) -> DataFrame:
     """fused_scores with place, 1 being the best; equal means share a place."""
     fused = materialise(fused_scores(df, group_by, item, scores), "fused").select(F.col(group_by).alias("g"), F.col(item).alias("i"), "fused")
-    places = average_ranks(fused.select("g", (-F.col("fused")).alias("minus")), ["g"], "minus").select("g", (-F.col("minus")).alias("fused"), (F.col("rank") - (F.col("ties") - 1) / 2).cast("long").alias("place"))
-    return fused.join(places, ["g", "fused"]).select(F.col("g").alias(group_by), F.col("i").alias(item), "fused", "place")
+    small, large = by_size(fused, "g")
+    out = small.withColumn("place", F.rank().over(Window.partitionBy("g").orderBy(F.desc("fused"))).cast("long"))
+    if large is not None:
+        places = average_ranks(large.select("g", (-F.col("fused")).alias("minus")), ["g"], "minus").select("g", (-F.col("minus")).alias("fused"), (F.col("rank") - (F.col("ties") - 1) / 2).cast("long").alias("place"))
+        out = out.unionByName(large.join(places, ["g", "fused"]).select(*out.columns))
+    return out.select(F.col("g").alias(group_by), F.col("i").alias(item), "fused", "place")
 
 
 def best(df: DataFrame, group_by: str, item: str, scores: dict[str, float]) -> DataFrame:
