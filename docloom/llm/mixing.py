@@ -7,8 +7,8 @@ available tokens is the expected number of copies of each of its documents: the
 fraction is an inclusion probability p. Documents are drawn by sequential Poisson sampling, in the order of u / p with u a
 hash of the id, until the source's tokens are met, so a source misses its target by less than one document.
 
-The table is aggregated before it reaches the driver. It has at most (targets) x (LANGUAGES + 1) x (TOPICS + 1) cells;
-rarer languages and topics share a cell. The cut in the order u / p is found from a histogram and then within one of its bins.
+The table is aggregated before it reaches the driver: its cells are the combinations of source, language code and topic that occur, however rare,
+and their number doesn't grow with the documents. The cut in the order u / p is found from a histogram and then within one of its bins.
 
 Defined results: sources are compared without case and outer spaces; null and unlisted sources, null and empty texts take
 no part in the mixture, but their tokens count in the total; target rows with a null or repeated source (beyond the first),
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from docloom.llm.tokenizer import DEFAULT, count_tokens
 from docloom.session import materialise
 
-LANGUAGES, TOPICS, BINS = 30, 50, 4096
+BINS = 4096
 
 
 def rake(available: np.ndarray, cell_source: np.ndarray, margins: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray, repeats: np.ndarray, rounds: int = 200) -> np.ndarray:
@@ -58,11 +58,6 @@ def rake(available: np.ndarray, cell_source: np.ndarray, margins: list[tuple[np.
     return to_sources(wanted)
 
 
-def _frequent(rows: DataFrame, column: str, limit: int) -> DataFrame:
-    """The categories with most tokens, at most ``limit``."""
-    return rows.groupBy(column).agg(F.sum("n_tokens").alias("t")).orderBy(F.desc("t"), column).limit(limit).select(column)
-
-
 def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str = "document_type", share: float = 0.5, vocabulary: str = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """The mixture (id, source, n_tokens, copies of at least 1) and its report, one row a target source.
 
@@ -76,9 +71,7 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: s
     total = counted.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     names = spark.createDataFrame(goals[["source"]].reset_index().rename(columns={"index": "s"}), "s int, source string") if len(goals) else spark.createDataFrame([], "s int, source string")
     listed = counted.where("n_tokens > 0").join(F.broadcast(names), "source")  # the targets are a small fixed table
-    langs, topics = _frequent(listed, "lang", LANGUAGES), _frequent(listed, "topic", TOPICS)
-    placed = listed.join(F.broadcast(langs.withColumn("l", F.col("lang"))), "lang", "left").join(F.broadcast(topics.withColumn("t", F.col("topic"))), "topic", "left").select("id", "s", "source", "n_tokens", F.coalesce("l", F.lit("*")).alias("l"), F.coalesce("t", F.lit("*")).alias("t"))
-    placed = materialise(placed, "placed")
+    placed = listed.select("id", "s", "source", "n_tokens", F.col("lang").alias("l"), F.col("topic").alias("t"))
     cells = placed.groupBy("s", "l", "t").agg(F.sum("n_tokens").alias("tokens")).toPandas().sort_values(["s", "l", "t"], ignore_index=True)
 
     weights = goals["weight"].to_numpy(float)
