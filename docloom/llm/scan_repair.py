@@ -95,11 +95,6 @@ def page_value(line: str) -> tuple[int, bool] | None:
     return int(n.translate(DIGIT)) if n.translate(DIGIT).isdigit() and len(n) <= 6 else None, marked
 
 
-@lru_cache(1 << 16)
-def grams(f: str) -> frozenset[str]:
-    return frozenset(f[i : i + 3] for i in range(len(f) - 2))
-
-
 @lru_cache(1 << 16)
 def alike(a: str, b: str, least: float = 0.85) -> bool:
     """Whether two forms are readings of one line, one of them perhaps cut short."""
@@ -108,8 +103,6 @@ def alike(a: str, b: str, least: float = 0.85) -> bool:
     short, long = sorted((a, b), key=len)
     if len(short) < 6 or len(short) < 0.6 * len(long):
         return False
-    if len(grams(short) & grams(long)) < 0.35 * len(grams(short)):  # spares the comparison of unlike lines
-        return False
 
     def close(x: str, y: str, least: float) -> bool:
         m = SequenceMatcher(None, x, y, autojunk=False)
@@ -118,12 +111,13 @@ def alike(a: str, b: str, least: float = 0.85) -> bool:
     return close(short, long, least) or close(short, long[: len(short)], least + 0.05)
 
 
+@lru_cache(1 << 16)
 def signature(f: str) -> np.ndarray:
-    """512 bits, one or more of them set for each three letters; forms that are alike share many."""
-    out = 0
-    for i in range(len(f) - 2):
-        out |= 1 << ((ord(f[i]) * 31 + ord(f[i + 1]) * 7 + ord(f[i + 2])) * 2654435761 >> 7 & 511)
-    return np.frombuffer(out.to_bytes(64, "little"), np.uint64)
+    """512 bits, one set for each three letters in a row: a form lacks few of those of one that is like it."""
+    bits = np.zeros(512, np.uint8)
+    c = np.frombuffer(f.encode("ascii"), np.uint8).astype(np.uint32)
+    bits[((c[:-2] * 961 + c[1:-1] * 31 + c[2:]) * np.uint32(2654435761)) >> 23] = 1
+    return np.packbits(bits).view(np.uint64)
 
 
 def page_lines(pages: list[tuple[int, list[tuple[int, str]]]]) -> list[dict[int, str]]:
@@ -179,7 +173,7 @@ def _classify(numbers: np.ndarray, low: np.ndarray, high: np.ndarray, edges: lis
             value = value_of(line)
             if value and (value[1] or (value[0] is not None and around(shifts[value[0] - numbers[i]], i) > 1)):
                 out[i][no] = "page_number"
-    need = np.full(len(edges), max(2, 0.2 * min(len(edges), 2 * HALO + 1)))
+    need = np.full(len(edges), max(2, 0.25 * min(len(edges), 2 * HALO + 1)))
     again = {(i, f): around(places[f], i) for i, _, f in rows}
     open_rows = []
     for i, no, f in rows:
@@ -191,16 +185,22 @@ def _classify(numbers: np.ndarray, low: np.ndarray, high: np.ndarray, edges: lis
         return out
     page_of = np.array([i for i, _, _ in rows])
     lengths = np.array([len(f) for _, _, f in rows])
+    times = np.array([again[i, f] for i, _, f in rows])
     signs = np.stack([signature(f) for _, _, f in rows])
+    first, last = np.searchsorted(page_of, low), np.searchsorted(page_of, high)
     for i, no, f in open_rows:
-        part = slice(int(np.searchsorted(page_of, low[i])), int(np.searchsorted(page_of, high[i])))
-        short, long = np.minimum(lengths[part], len(f)), np.maximum(lengths[part], len(f))
-        likely = (np.bitwise_count(signs[part] & signature(f)).sum(1) >= 0.25 * short) & (short >= 6) & (short >= 0.6 * long) & (page_of[part] != i)
+        part, own, n = slice(first[i], last[i]), signature(f), len(f)
+        other = lengths[part]
+        # the known confusions leave the form as it is, so forms that never come again must be very much like each other
+        strict = np.maximum(times[part], again[i, f]) == 1
+        # a character without a counterpart takes three of the form's runs of three letters with it at most
+        missing = np.where(other < n, np.bitwise_count(signs[part] & ~own).sum(1), np.bitwise_count(own & ~signs[part]).sum(1))
+        short = np.minimum(other, n)
+        likely = (missing <= 3 * (np.where(strict, 0.07, 0.15) * short + 1e-9).astype(int)) & (short >= 0.6 * np.maximum(other, n)) & (page_of[part] != i)
         support: dict[int, int] = {}
-        for j in np.flatnonzero(likely) + part.start:
-            k, _, g = rows[j]
-            # the known confusions leave the form as it is, so forms that never come again must be very much like each other
-            if k not in support and alike(f, g, 0.85 if max(again[i, f], again[k, g]) > 1 else 0.93):
+        for j in np.flatnonzero(likely):
+            k, _, g = rows[j + part.start]
+            if k not in support and alike(f, g, 0.93 if strict[j] else 0.85):
                 support[k] = again[k, g]
         if support and (1 + len(support) >= need[i] or max(support.values()) >= need[i]):
             out[i][no] = "running"
