@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import filter_tokens, tokenize
+from docloom.functions.values import stable_shard
 from docloom.operators.ranking import number_rows
 from docloom.session import materialise
 
@@ -79,7 +80,7 @@ def build_index(df: DataFrame, id_col: str, text_col: str) -> Index:
 def posting_lists(postings: DataFrame) -> DataFrame:
     """term, df and its postings in order of doc_id: the stored form of the index.
 
-    A term's list is as long as its df; ``write_postings`` stores rows instead, which has no such group.
+    A term's list is as long as its df; ``save_index`` stores rows instead, which has no such group.
     """
     return postings.groupBy("term").agg(F.count("*").alias("df"), F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
@@ -103,9 +104,39 @@ def score(index: Index, queries: DataFrame, k1: float = K1, b: float = B) -> Dat
     partition before anything is shuffled; a large batch is joined by term instead.
     """
     asked = query_terms(queries)
-    weights = materialise(asked.join(index.terms, "term").select("query_id", "term", "idf"), "weights")
+    # the filter by the terms asked goes below the counting of terms: postings of others are never made, here and in the scores
+    of_asked = lambda terms: index.postings.join(terms.select("term").distinct(), "term", "left_semi")
+    df = of_asked(asked).groupBy("term").agg(F.count("*").alias("df"))
+    weights = materialise(asked.join(df, "term").select("query_id", "term", idf(F.lit(index.n_docs), F.col("df")).alias("idf")), "weights")
     part = term_score(F.col("idf"), F.col("tf"), F.col("dl"), F.lit(index.avgdl), k1, b)
-    return index.postings.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.min("term").alias("first_term"))
+    return of_asked(weights).join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.min("term").alias("first_term"))
+
+
+#: Different terms of a batch up to which they are handed to the scan as a filter.
+TERMS_IN_FILTER = 1000
+
+
+def save_index(index: Index, path: str, shards: int = 128) -> None:
+    """Postings in a folder a shard of terms, sorted by term in each file, terms likewise, document lengths and statistics."""
+    spark = index.postings.sparkSession
+    for df, name in ((index.postings.select("term", "doc_id", "tf", "dl"), "postings"), (index.terms.select("term", "df"), "terms")):
+        sharded = df.withColumn("shard", stable_shard("term", shards))
+        sharded.repartition("shard").sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/{name}")
+    index.docs.write.mode("overwrite").parquet(f"{path}/docs")
+    spark.createDataFrame([(index.n_docs, float(index.avgdl), shards)], "n_docs long, avgdl double, shards int").coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_index(spark: SparkSession, path: str, queries: DataFrame | None = None) -> Index:
+    """A stored index. With ``queries``, only the folders of their terms are read, and in these only the row groups of the terms."""
+    stats = spark.read.parquet(f"{path}/stats").first()
+    postings, terms = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    if queries is not None:
+        asked = query_terms(queries).select("term").distinct()
+        shards = [r.shard for r in asked.select(stable_shard("term", stats.shards).alias("shard")).distinct().collect()]  # at most as many as there are shards
+        listed = [r.term for r in asked.limit(TERMS_IN_FILTER + 1).collect()]
+        of = F.col("shard").isin(shards) if len(listed) > TERMS_IN_FILTER else F.col("shard").isin(shards) & F.col("term").isin(listed)
+        postings, terms = postings.where(of), terms.where(of)
+    return Index(postings.drop("shard"), terms.drop("shard").withColumn("idf", idf(F.lit(stats.n_docs), F.col("df"))), spark.read.parquet(f"{path}/docs"), stats.n_docs, stats.avgdl)
 
 
 def candidates(scored: DataFrame, top_k: int = 10, oversample: int = 10, max_candidates: int | None = None) -> DataFrame:

@@ -35,8 +35,9 @@ def validate_shards(df: DataFrame, dims: int, manifest: DataFrame | None = None,
 
     manifest: shard_idx and count as they were written.
     """
-    w = Window.partitionBy(id_col).orderBy(shard)
-    rows = df.select(shard, id_col, vec).withColumn("error", vector_errors(dims, vec, id_col)).withColumn("again", F.col(id_col).isNotNull() & (F.col(shard) > F.first(shard).over(w)))
+    # the first shard of every id is aggregated and joined; null ids take no part
+    firsts = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(shard).alias("_first"))
+    rows = df.select(shard, id_col, vec).withColumn("error", vector_errors(dims, vec, id_col)).join(firsts.withColumnRenamed(id_col, "_id"), F.col(id_col) == F.col("_id"), "left").withColumn("again", F.col("_first").isNotNull() & (F.col(shard) > F.col("_first")))
     kinds = ["MISSING_ID", "MISSING_VECTOR", "BAD_DIMENSION", "NOT_FINITE"]
     out = rows.groupBy(shard).agg(F.count("*").alias("rows"), *(F.count_if(F.col("error") == k).alias(k.lower()) for k in kinds), F.count_if("again").alias("duplicate_id"))
     if manifest is not None:
@@ -49,6 +50,40 @@ def validate_shards(df: DataFrame, dims: int, manifest: DataFrame | None = None,
     return out.withColumn("status", first.otherwise("OK"))
 
 
+def usable_shards(report: DataFrame, skip: bool = True, shard: str = "shard_idx") -> DataFrame:
+    """Shards that may be indexed, by a report of ``validate_shards``: those without a fault, and those whose repeated ids alone are at fault.
+
+    With skip = False any other fault is an error; no shard left is one anyway. A report has a row a shard.
+    """
+    good = report.where(F.col("status").isin("OK", "DUPLICATE_ID")).select(shard)
+    if not skip:
+        bad = report.where(~F.col("status").isin("OK", "DUPLICATE_ID")).orderBy(shard).first()
+        if bad is not None:
+            raise ValueError(f"shard {bad[shard]}: {bad['status']}")
+    if good.isEmpty():
+        raise ValueError("no shard can be indexed")
+    return good
+
+
+def valid_vectors(df: DataFrame, dims: int, shard: str = "shard_idx", vec: str = "embedding", id_col: str = "chunk_id") -> DataFrame:
+    """id and vector of every id once: the faultless vector of its first shard."""
+    good = df.where(vector_errors(dims, vec, id_col).isNull())
+    return good.groupBy(id_col).agg(F.min_by(vec, F.col(shard)).alias(vec))
+
+
+def entry_hits(near: DataFrame, chunks: DataFrame, top_k: int = 10, depth: int = 100, retry: int = 5, allowed: DataFrame | None = None, entry: str = "entry_id") -> DataFrame:
+    """Chunk hits of a dense search with the columns of their chunks, hit_rank counted among those that a filter leaves.
+
+    near: query_id, chunk_id, score, rank down to ``retry * depth``. The first ``depth`` count; a query that has fewer than ``top_k`` entries
+    among them is answered from ``retry`` times as many, once.
+    """
+    kept = near.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi") if allowed is not None else near
+    hits = kept.join(chunks, "chunk_id")
+    enough = hits.where(F.col("rank") <= depth).groupBy("query_id").agg(F.count_distinct(entry).alias("_n")).where(F.col("_n") >= top_k).select("query_id", F.lit(True).alias("_enough"))
+    seen = hits.join(enough, "query_id", "left").where((F.col("rank") <= depth) | (F.col("_enough").isNull() & (F.col("rank") <= retry * depth))).drop("_enough")
+    return seen.withColumn("hit_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+
+
 def coverage(vectors: DataFrame, chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """chunks, indexed and their share in per cent, to two decimals."""
     have = vectors.select(id_col).distinct().withColumn("_v", F.lit(1))

@@ -63,6 +63,13 @@ def titles_and_summaries(chunks: DataFrame, entry: str = "page_ptr_id") -> DataF
     return chunks.groupBy(F.col(entry).alias("entry_id")).agg(F.coalesce(kind("policy_title"), F.lit("")).alias("title"), F.coalesce(kind("policy_summary"), F.lit("")).alias("summary"))
 
 
+def with_titles(results: DataFrame, titles: DataFrame) -> DataFrame:
+    """Results with the title and summary of their entry, empty where there is none."""
+    known = titles.select("entry_id", F.col("title").alias("_title"), F.col("summary").alias("_summary"))
+    joined = results.join(known, "entry_id", "left")
+    return joined.withColumn("title", F.coalesce("_title", F.lit(""))).withColumn("summary", F.coalesce("_summary", F.lit(""))).drop("_title", "_summary")
+
+
 def fuse(lists: dict[str, DataFrame], rrf_k: int = 60, final_k: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked entry lists by source name; the first list's display fields win.
 
@@ -129,7 +136,7 @@ def rerank(fused: DataFrame, queries: DataFrame, texts: DataFrame, scorer: PairS
     text = F.coalesce(F.nullif("text", F.lit("")), "snippet", F.lit(""))
     if scorer is not None:
         text = shorten(text, max_chars)
-    scored = pairs.where(head).withColumn("ce_score", pair_scores(scorer or PairScorer())("query", text)).drop("query", "text")
+    scored = pairs.where(head).withColumn("ce_score", F.round(pair_scores(scorer or PairScorer())("query", text), 9)).drop("query", "text")
     keys = [F.desc(date_to_int("announced_date"))] if by_date else []
     w = Window.partitionBy("query_id").orderBy(*keys, F.desc("ce_score"), F.desc("rrf_score"), "entry_id")
     top = scored.withColumn("rank", F.row_number().over(w))

@@ -24,6 +24,13 @@ def number_rows(df: DataFrame, order: list[str], name: str = "row") -> DataFrame
     return placed.join(F.broadcast(shifts), "_p").withColumn(name, (F.col("_i") - F.col("_first") + F.col("_shift")).cast("long")).drop("_p", "_i", "_first", "_shift")
 
 
+def first_appearance(df: DataFrame, keys: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """Each key once, numbered from 1 in the order in which keys first appear."""
+    first = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
+    placed = number_rows(first.select(*keys, *(F.col(f"_first.{o}").alias(f"_o{i}") for i, o in enumerate(order))), [f"_o{i}" for i in range(len(order))] + keys, name)
+    return placed.select(*keys, (F.col(name) + 1).alias(name))
+
+
 def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of every key in the order given: a stable ``dropDuplicates``."""
     w = Window.partitionBy(*keys).orderBy(*order)

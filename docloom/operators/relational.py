@@ -121,3 +121,27 @@ def matching_tables(df: DataFrame, pattern: str, include: str | None = None, tab
     """Tables whose name matches a pattern, in any case, and contains ``include``."""
     out = df.where(F.rlike(F.lower(table), F.lit(pattern.lower())))
     return out.where(F.contains(F.lower(table), F.lit(include.lower()))) if include else out
+
+
+def commentary(kind: Column | str) -> Column:
+    """Whether a document's type says that it is commentary."""
+    return F.coalesce(F.lower(F.trim(kind)) == "commentary", F.lit(False))
+
+
+def pdf_manifest(df: DataFrame, path: str = "dest_relpath", kind: str | None = None) -> DataFrame:
+    """Manifest rows of PDF files, without commentary where the column of the type is given."""
+    from docloom.functions.values import is_pdf_path
+
+    out = df.where(is_pdf_path(path))
+    return out.where(~commentary(F.col(kind))) if kind else out
+
+
+def probe(df: DataFrame, lists: list[str], **conditions: Column) -> DataFrame:
+    """One row: the longest list of each array column, and the number of rows that meet each condition."""
+    longest = [F.coalesce(F.max(F.size(c)), F.lit(0)).cast("long").alias(f"longest_{c}") for c in lists]
+    return df.agg(F.count("*").alias("rows"), *longest, *(F.count_if(c).alias(name) for name, c in conditions.items()))
+
+
+def distinct_values(df: DataFrame, column: str, n: int = 50) -> DataFrame:
+    """The first n different values of a column, in order."""
+    return df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(n)

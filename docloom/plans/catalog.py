@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docloom.operators import bm25
-from docloom.plans import relational_queries, retrieval_queries, text_queries
+from docloom.plans import relational_queries, retrieval_queries, storage_queries, text_queries
 from docloom.plans.registry import Query, table
 
-REGISTRIES = [text_queries.registry, retrieval_queries.registry, relational_queries.registry]
+REGISTRIES = [text_queries.registry, retrieval_queries.registry, relational_queries.registry, storage_queries.registry]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

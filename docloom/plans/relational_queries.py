@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import values as v
 from docloom.operators import ranking, relational
 from docloom.plans.registry import Registry, table
+from docloom.session import scratch
 from docloom.sources import sinks, tables
 from docloom.streaming import ingest
 
@@ -163,11 +164,7 @@ def lineitem_pivot(spark: SparkSession, sf: str) -> DataFrame:
 @add()
 def streamed_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """chunk_records through a stream that keeps each id once, until all that is there is read."""
-    import uuid
-
-    from docloom.session import shared_dir
-
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    path = scratch(spark, "stream")
     schema = table(spark, sf, "chunk_records").schema
     stream = ingest.stream_table(spark, f"{sf}/chunk_records.parquet", schema).where("chunk_id is not null").select("chunk_id", "source_type", "ingested_at")
     ingest.ingest(ingest.first_arrivals(stream, lateness="3650 days"), f"{path}/out", f"{path}/state").awaitTermination()

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import vectors as vec
+from docloom.functions.values import stable_shard
 from docloom.operators import bm25, dense, entries, evaluation, ranking
 from docloom.plans.registry import Registry, table
 from docloom.plans.text_queries import ONCE, chunks_once, kept_sql
+from docloom.session import materialise, scratch
 
 registry = Registry()
 add = registry.add
@@ -45,6 +47,15 @@ def bm25_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _search(spark, sf, top_k=10)
 
 
+@add(f"with {SCORED} {ranked_sql(10)}")
+def bm25_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by an index that is written, and read again by the shards of the terms asked only."""
+    path = scratch(spark, "index")
+    bm25.save_index(_index(spark, sf), path)
+    queries = table(spark, sf, "search_queries")
+    return bm25.search(bm25.load_index(spark, path, queries), queries, top_k=10)
+
+
 ONE_QUERY = "asylum hearing officer and the decision"
 
 
@@ -107,11 +118,20 @@ def bm25_entries_by_date(spark: SparkSession, sf: str) -> DataFrame:
     return _entries(spark, sf, by_date=True).select("query_id", "entry_id", "rank", "score", "best_rank", "source", "chunk_id", "matched_count", F.array_join("matched_chunk_ids", " ").alias("matched"))
 
 
-@add(f"select page_ptr_id as entry_id, coalesce(min_by(text, chunk_id) filter (source_type = 'policy_title' and text is not null), '') as title, coalesce(min_by(text, chunk_id) filter (source_type = 'policy_summary' and text is not null), '') as summary from {ONCE} group by page_ptr_id")
+TITLES = f"select page_ptr_id as entry_id, coalesce(min_by(text, chunk_id) filter (source_type = 'policy_title' and text is not null), '') as title, coalesce(min_by(text, chunk_id) filter (source_type = 'policy_summary' and text is not null), '') as summary from {ONCE} group by page_ptr_id"
+
+
+@add(TITLES)
 def titles_and_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return entries.titles_and_summaries(chunks_once(spark, sf))
 
 
+@add(f"with {ENTRY}, titles as ({TITLES}), top as (select *, row_number() over (partition by query_id order by score desc, best_date desc, best_rank, entry_id)::int as rank from ents) select query_id, top.entry_id, rank, coalesce(title, '') as title, coalesce(summary, '') as summary from top left join titles on titles.entry_id = top.entry_id where rank <= 10")
+def entry_titles(spark: SparkSession, sf: str) -> DataFrame:
+    """Entry results with the title and summary of their entry."""
+    return entries.with_titles(_entries(spark, sf), entries.titles_and_summaries(chunks_once(spark, sf))).select("query_id", "entry_id", "rank", "title", "summary")
+
+
 # lists of search_results ------------------------------------------------------------------------------------------
 LISTS = """lists as (
   select query_id, retriever, entry_id, score, best_rank, chunk_id, doc_id, row_number() over (partition by query_id, retriever order by score desc, best_rank nulls last, entry_id)::int as rank
@@ -177,20 +197,68 @@ def confidence_changepoint(spark: SparkSession, sf: str) -> DataFrame:
     return entries.change_point(_semantic(spark, sf)).select("query_id", "entry_id", "rank")
 
 
-@add()
+_WORDS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]{{2,}}'))"
+RERANKED = f"""{FUSED},
+pairs as (select r.*, {_WORDS.format("q.query")} as asked, {_WORDS.format("c.text")} as had from ranked r join search_queries q using (query_id) left join {ONCE} c on c.chunk_id = r.chunk_id where rank <= 50),
+scored as (select *, (len(list_intersect(asked, had)) + 0.5::double) / (len(asked) + 1) as p from pairs),
+ce as (select query_id, entry_id, rrf_score, round(ln(p / (1 - p)), 9) as ce_score from scored)
+"""
+
+
+@add(f"with {RERANKED} select query_id, entry_id, row_number() over (partition by query_id order by ce_score desc, rrf_score desc, entry_id)::int as rank, ce_score, rrf_score from ce")
 def reranked(spark: SparkSession, sf: str) -> DataFrame:
     texts = chunks_once(spark, sf).select("chunk_id", "text")
     return entries.rerank(_fused(spark, sf), table(spark, sf, "search_queries"), texts).select("query_id", "entry_id", "rank", "ce_score", "rrf_score")
 
 
+@add(f"with {RERANKED.replace('rank <= 50', 'true')} select query_id, entry_id, case when old > 5 then old else row_number() over (partition by query_id, old > 5 order by ce_score desc, rrf_score desc, entry_id)::int end as rank, case when old <= 5 then ce_score end as ce_score from (select ce.*, r.rank as old from ce join ranked r using (query_id, entry_id)) where old <= 50")
+def reranked_head(spark: SparkSession, sf: str) -> DataFrame:
+    """Only the first five of each query by pair score, the others stay behind them."""
+    texts = chunks_once(spark, sf).select("chunk_id", "text")
+    return entries.rerank(_fused(spark, sf), table(spark, sf, "search_queries"), texts, depth=5).select("query_id", "entry_id", "rank", "ce_score")
+
+
+DENSE = """
+vec as (select chunk_id, min_by(embedding, shard_idx)::double[] as v from chunk_vectors where chunk_id is not null and embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 group by chunk_id),
+near as (select * from (select q.chunk_id as query_id, e.chunk_id, round(list_dot_product(q.v, e.v), 6) + 0.0 as score, row_number() over (partition by q.chunk_id order by round(list_dot_product(q.v, e.v), 6) desc, e.chunk_id) as rank from vec q, vec e where ('0x' || left(md5(q.chunk_id), 8))::bigint % 50 = 0) where rank <= 100),
+hits as (select near.*, page_ptr_id as entry_id from near join """ + ONCE + """ c using (chunk_id) where FILTER),
+enough as (select query_id, count(distinct entry_id) filter (rank <= 20) >= 5 as yes from hits group by query_id),
+seen as (select hits.*, row_number() over (partition by query_id order by rank) as hit_rank from hits join enough using (query_id) where rank <= 20 or not yes),
+ents as (select query_id, entry_id, max(score) as score, min(hit_rank) as best_rank, count(*) as matched_count from seen where entry_id is not null group by query_id, entry_id)
+select query_id, entry_id, row_number() over (partition by query_id order by score desc, best_rank, entry_id)::int as rank, score, best_rank::int as best_rank, matched_count from ents"""
+
+
+def _dense_entries(spark: SparkSession, sf: str, **filters: str) -> DataFrame:
+    vectors = materialise(dense.valid_vectors(table(spark, sf, "chunk_vectors"), 64), "vectors")
+    asked = vectors.where(stable_shard("chunk_id", 50) == 0).withColumnRenamed("chunk_id", "query_id")
+    near = dense.exact_search(vectors, asked, 100)
+    chunks = chunks_once(spark, sf)
+    allowed = bm25.metadata_filter(chunks, **filters) if filters else None
+    shown = chunks.select("chunk_id", F.col("page_ptr_id").alias("entry_id"), F.col("chunk_id").alias("doc_id"), F.coalesce("policydocument_id", F.lit("")).alias("attachment_id"), "source_type", "text", F.lit(None).cast("string").alias("announced_date"))
+    hits = dense.entry_hits(near, shown, top_k=5, depth=20, retry=5, allowed=allowed)
+    return entries.roll_up(hits, top_k=None).select("query_id", "entry_id", "rank", "score", "best_rank", "matched_count")
+
+
+@add("with " + DENSE.replace("FILTER", "true"))
+def dense_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries of a dense search: twenty chunks of each query, a hundred where these have fewer than five entries."""
+    return _dense_entries(spark, sf)
+
+
+@add("with " + DENSE.replace("FILTER", "meta_flat.administration = 'Birchwell'"))
+def dense_entries_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a filter after the search, so that the retry matters."""
+    return _dense_entries(spark, sf, administration="Birchwell")
+
+
 @add()
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 and dense lists of the queries, fused, reranked and cut."""
     queries = table(spark, sf, "search_queries")
-    chunks = chunks_once(spark, sf)
+    chunks = materialise(chunks_once(spark, sf), "chunks")
     embedder = dense.Embedder()
-    stored = dense.embed(chunks, embedder)
-    asked = dense.embed(queries.where("query is not null"), embedder, "query_id", "query")
+    stored = materialise(dense.embed(chunks, embedder), "vectors")
+    asked = materialise(dense.embed(queries.where("query is not null"), embedder, "query_id", "query"), "queries")
     near = dense.exact_search(stored, asked, 100)
     hits = near.withColumn("hit_rank", F.col("rank")).join(chunks.select("chunk_id", F.col("page_ptr_id").alias("entry_id"), F.col("chunk_id").alias("doc_id"), F.coalesce("policydocument_id", F.lit("")).alias("attachment_id"), "source_type", "text", F.col("meta_flat.announced_date").alias("announced_date")), "chunk_id")
     lists = {"bm25": _entries(spark, sf), "semantic": entries.roll_up(hits, top_k=10)}
@@ -270,6 +338,19 @@ def vector_validation(spark: SparkSession, sf: str) -> DataFrame:
     return dense.validate_shards(table(spark, sf, "chunk_vectors"), 64)
 
 
+@add(
+    """with e as (select shard_idx, case when chunk_id is null then 1 when embedding is null then 2 when len(embedding) <> 64 then 3 when len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) > 0 then 4 else 0 end as e from chunk_vectors),
+    s as (select shard_idx, count(*) as n, count(*) filter (e > 0) as bad from e group by shard_idx)
+    select shard_idx from s where bad = 0 and shard_idx % 3 <> 1"""
+)
+def shard_policy(spark: SparkSession, sf: str) -> DataFrame:
+    """Shards that may be indexed by a manifest that counts one vector too many in every third shard and has one shard that is missing."""
+    vectors = table(spark, sf, "chunk_vectors")
+    manifest = vectors.groupBy("shard_idx").agg((F.count("*") + (F.col("shard_idx") % 3 == 1).cast("int")).alias("count"))
+    manifest = manifest.unionByName(spark.createDataFrame([(1_000_000, 5)], "shard_idx int, count long"))
+    return dense.usable_shards(dense.validate_shards(vectors, 64, manifest))
+
+
 @add("select count(*) as chunks, count(v.chunk_id) as indexed, round(100.0 * count(v.chunk_id) / count(*), 2) as coverage_pct from (select distinct chunk_id from chunk_records) c left join (select distinct chunk_id from chunk_vectors) v using (chunk_id)")
 def vector_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return dense.coverage(table(spark, sf, "chunk_vectors"), table(spark, sf, "chunk_records"))

@@ -59,14 +59,6 @@ def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     df.write.mode("overwrite" if overwrite else "errorifexists").option("header", "true").option("escape", '"').csv(path)
 
 
-def write_postings(postings: DataFrame, path: str, shards: int = 128) -> None:
-    """The inverted index, a folder a shard of terms: a search reads the folders of its terms only."""
-    from docloom.functions.values import stable_shard
-
-    df = postings.withColumn("shard", stable_shard("term", shards))
-    df.repartition("shard").sortWithinPartitions("term").write.mode("overwrite").partitionBy("shard").parquet(path)
-
-
 def read_done(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     """Ids that an earlier run has written."""
     from docloom.sources.tables import _exists

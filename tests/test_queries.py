@@ -10,7 +10,6 @@ from docloom.plans import catalog
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
-SAMPLE = ["tokenize_counts", "df_idf", "clean_text", "html_to_text", "bm25_batch", "bm25_entries", "rrf_fuse", "confidence_changepoint", "ir_metrics", "l2_topk", "vector_validation", "overlap_summary", "nested_children", "first_islands", "result_csv"]
 
 
 def plain(x):
@@ -29,7 +28,7 @@ def tables():
     return c
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_equals_sql(spark, tables, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     want = tables.execute(catalog.oracle_sql()[name]).df()
