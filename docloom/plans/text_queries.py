@@ -158,10 +158,31 @@ def hard_windows(spark: SparkSession, sf: str) -> DataFrame:
     return chunks_once(spark, sf).where("text is not null").select("chunk_id", F.posexplode(tx.windows_of(F.col("text"), 800)).alias("i", "piece"))
 
 
-@add()
+_STRIP = r"regexp_replace({}, '^[\s\p{{Z}}\x0b\x85]+|[\s\p{{Z}}\x0b\x85]+$', '', 'g')"
+_CLEAN_KEPT = CLEAN.replace(r"[\x00-\x1f\x7f-\x{9f}]", r"[\x00-\x09\x0b-\x1f\x7f-\x{9f}]")
+
+
+def _pieces_sql(of: str, parts: str, then: str) -> str:
+    """``then`` over the trimmed parts, without empty ones, of each text of a list."""
+    return f"flatten(list_transform({of}, lambda u: list_transform(list_filter(list_transform({parts}, lambda x: {_STRIP.format('x')}), lambda x: x <> ''), lambda x: {then})))"
+
+
+_SENTENCES = _pieces_sql(_pieces_sql(f"[{_CLEAN_KEPT}]", "string_split(u, chr(10) || chr(10))", "x"), r"string_split(regexp_replace(u, '([.?!])[ \t]+', '\1' || chr(1), 'g'), chr(1))", "x")
+_CLAUSES = _pieces_sql(_SENTENCES, r"case when length(u) <= 2000 then [u] else string_split(regexp_replace(u, '([;:,)])[\s\p{Z}\x0b\x85]+', '\1' || chr(1), 'g'), chr(1)) end", "x")
+_UNITS = _pieces_sql(_CLAUSES, "case when length(u) <= 2000 then [u] else list_transform(range(0, length(u), 800), lambda i: substr(u, i + 1, 800)) end", "x")
+
+
+@add(f"select stable_id, page_num, extracted_at, (i - 1)::int as i, units[i] as unit from (select *, unnest(range(1, len(units) + 1)) as i from (select stable_id, page_num, extracted_at, {_UNITS} as units from page_records))")
 def sentence_units(spark: SparkSession, sf: str) -> DataFrame:
     units = F.flatten(F.transform(tx.split_units(tx.clean_text("text", preserve_paragraphs=True)), lambda u: tx.split_oversized(u)))
-    return table(spark, sf, "page_records").select("stable_id", "page_num", F.posexplode(units).alias("i", "unit"))
+    return table(spark, sf, "page_records").select("stable_id", "page_num", "extracted_at", F.posexplode(units).alias("i", "unit"))
+
+
+@add(f"select doc_id, (i - 1)::int as i, units[i] as unit from (select *, unnest(range(1, len(units) + 1)) as i from (select doc_id, {_UNITS.replace('2000', '120').replace('800', '50')} as units from documents))")
+def oversized_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of documents with so small a limit that clauses and fixed windows are needed."""
+    units = F.flatten(F.transform(tx.split_units(tx.clean_text("text", preserve_paragraphs=True)), lambda u: tx.split_oversized(u, 120, 50)))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(units).alias("i", "unit"))
 
 
 PARTS = r"list_filter(list_transform(string_split(coalesce(description_text, ''), chr(10) || chr(10)), lambda p: regexp_replace(p, '^[\s\p{Z}\x0b\x85]+|[\s\p{Z}\x0b\x85]+$', '', 'g')), lambda p: p <> '')"
