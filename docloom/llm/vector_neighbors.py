@@ -9,7 +9,7 @@ borders. Candidates of all tables are merged and reranked by the exact cosine.
 The number of hash functions follows the logarithm of the number of vectors, so that buckets stay small as
 the collection grows; the number of tables follows that of the functions, so that a pair at the least cosine wanted
 meets with a probability of ``MEET`` at any size (``tables_needed``). A bucket row holds a 128-bit sign sketch of its vector instead of the vector; pairs more
-than SIGMAS standard deviations away from the least cosine wanted never get to the reranking (one pair in a thousand million at
+than SIGMAS standard deviations away from the least cosine wanted never get to the reranking (three pairs in ten million at
 that cosine; the hashing itself misses one in a hundred).
 Buckets above ``LARGE`` vectors (a topic that holds a third of all) go another, exact way: blocks of
 the bucket's vectors are multiplied with blocks of its visitors and each visitor keeps its k best of a block.
@@ -36,7 +36,7 @@ from docloom.session import materialise
 
 LARGE = 4000
 SEED = 20_240_501
-SIGMAS = 6
+SIGMAS = 5
 #: Least probability at which a pair at the least cosine wanted meets in some table, and the made pairs it is measured on.
 MEET, PAIRS = 0.99, 4000
 
