@@ -135,7 +135,9 @@ def load_index(spark: SparkSession, path: str, queries: DataFrame | None = None)
         shards = [r.shard for r in asked.select(stable_shard("term", stats.shards).alias("shard")).distinct().collect()]  # at most as many as there are shards
         listed = [r.term for r in asked.limit(TERMS_IN_FILTER + 1).collect()]
         of = F.col("shard").isin(shards) if len(listed) > TERMS_IN_FILTER else F.col("shard").isin(shards) & F.col("term").isin(listed)
-        postings, terms = postings.where(of), terms.where(of)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        # by document, as in an index just built: scores of a document are summed where its postings are
+        postings, terms = postings.where(of).repartition(n, "doc_id"), terms.where(of)
     return Index(postings.drop("shard"), terms.drop("shard").withColumn("idf", idf(F.lit(stats.n_docs), F.col("df"))), spark.read.parquet(f"{path}/docs"), stats.n_docs, stats.avgdl)
 
 

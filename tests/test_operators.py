@@ -247,3 +247,37 @@ def test_stand_in_scores_whole_texts(spark):
     assert {r.entry_id: r["rank"] for r in entries.rerank(fused, asked, texts).collect()} == {"f": 1, "e": 2}
     cut = entries.rerank(fused, asked, texts, entries.PairScorer()).collect()  # a given scorer has a window
     assert {r.entry_id: r["rank"] for r in cut} == {"e": 1, "f": 2}
+
+
+def test_stored_index_reads_the_shards_of_the_terms_only(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"border wall number{i % 7} crossing{i % 3}") for i in range(200)] + [(999, None)], "doc_id int, text string")
+    asked = spark.createDataFrame([(1, "wall crossing1"), (2, "nothing known"), (3, "")], "query_id int, query string")
+    index = bm25.build_index(docs, "doc_id", "text")
+    bm25.save_index(index, str(tmp_path / "index"), 16)
+    loaded = bm25.load_index(spark, str(tmp_path / "index"), asked)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(bm25.search(loaded, asked, 5)) == rows(bm25.search(index, asked, 5)) != []
+    assert rows(bm25.search(bm25.load_index(spark, str(tmp_path / "index")), asked, 5)) == rows(bm25.search(index, asked, 5))
+    plan = loaded.postings._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "shard" in filters and "In(term" in plan
+    assert (loaded.n_docs, loaded.avgdl) == (index.n_docs, index.avgdl) and loaded.docs.count() == 200
+
+
+def test_dense_entries_retry_once_and_obey_filters(spark):
+    near = spark.createDataFrame([(q, f"c{i:03d}", 1.0 - i / 1000, i) for q in (1, 2) for i in range(1, 101)], "query_id int, chunk_id string, score double, rank int")
+    chunks = spark.createDataFrame([(f"c{i:03d}", f"e{i // 10}") for i in range(1, 101)], "chunk_id string, entry_id string")
+    hits = lambda **o: sorted((r.hit_rank, r.chunk_id) for r in dense.entry_hits(near.where("query_id = 1"), chunks, **o).collect())
+    assert len(hits(top_k=2, depth=20, retry=5)) == 20  # entries enough among the first twenty
+    assert len(hits(top_k=4, depth=20, retry=3)) == 60  # not enough: three times as many, once
+    few = chunks.where("chunk_id like '%5'").select("chunk_id")
+    assert [n for n, _ in hits(top_k=2, depth=20, retry=5, allowed=few)] == [1, 2] and len(hits(top_k=3, depth=20, retry=5, allowed=few)) == 10
+
+
+def test_shard_policy(spark):
+    report = spark.createDataFrame([(0, "OK"), (1, "NOT_FINITE"), (2, "DUPLICATE_ID")], "shard_idx int, status string")
+    assert sorted(r.shard_idx for r in dense.usable_shards(report).collect()) == [0, 2]
+    with pytest.raises(ValueError, match="shard 1: NOT_FINITE"):
+        dense.usable_shards(report, skip=False)
+    with pytest.raises(ValueError, match="no shard"):
+        dense.usable_shards(report.where("shard_idx = 1"))
