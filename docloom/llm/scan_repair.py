@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -77,7 +78,7 @@ def strokes(word: str) -> str:
 
 def form(line: str) -> str:
     """What is left of a line without numbers, spaces, signs and the difference of confused letters."""
-    return "".join(re.findall("[a-z]", strokes("".join(c for c in line if not c.isdigit()))))
+    return re.sub("[^a-z]+", "", strokes(re.sub("[0-9]+", "", line)))
 
 
 def page_value(line: str) -> tuple[int, bool] | None:
@@ -147,6 +148,7 @@ def page_lines(pages: list[tuple[int, list[tuple[int, str]]]]) -> list[dict[int,
 
 def _classify(numbers: np.ndarray, low: np.ndarray, high: np.ndarray, edges: list, form_of, value_of) -> list[dict[int, str]]:
     out: list[dict[int, str]] = [{} for _ in edges]
+    begins, ends, numbers = low.tolist(), high.tolist(), numbers.tolist()
     shifts: dict[int, list[int]] = defaultdict(list)
     places: dict[str, list[int]] = defaultdict(list)
     rows: list[tuple[int, int, str]] = []
@@ -166,7 +168,7 @@ def _classify(numbers: np.ndarray, low: np.ndarray, high: np.ndarray, edges: lis
 
     def around(at: list[int], i: int) -> int:
         """Pages among ``at`` in the window of page i."""
-        return int(np.searchsorted(at, high[i]) - np.searchsorted(at, low[i]))
+        return bisect_left(at, ends[i]) - bisect_left(at, begins[i])
 
     for i, lines in enumerate(edges):
         for no, line in lines:
