@@ -50,17 +50,17 @@ def validate_shards(df: DataFrame, dims: int, manifest: DataFrame | None = None,
     return out.withColumn("status", first.otherwise("OK"))
 
 
-def usable_shards(report: DataFrame, skip: bool = True, shard: str = "shard_idx") -> DataFrame:
+def usable_shards(report: DataFrame, skip: bool = True, shard: str = "shard_idx", empty: bool = False) -> DataFrame:
     """Shards that may be indexed, by a report of ``validate_shards``: those without a fault, and those whose repeated ids alone are at fault.
 
-    With skip = False any other fault is an error; no shard left is one anyway. A report has a row a shard.
+    With skip = False any other fault is an error; no shard left is one anyway, unless ``empty``. A report has a row a shard.
     """
     good = report.where(F.col("status").isin("OK", "DUPLICATE_ID")).select(shard)
     if not skip:
         bad = report.where(~F.col("status").isin("OK", "DUPLICATE_ID")).orderBy(shard).first()
         if bad is not None:
             raise ValueError(f"shard {bad[shard]}: {bad['status']}")
-    if good.isEmpty():
+    if not empty and good.isEmpty():
         raise ValueError("no shard can be indexed")
     return good
 

@@ -348,7 +348,7 @@ def shard_policy(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "chunk_vectors")
     manifest = vectors.groupBy("shard_idx").agg((F.count("*") + (F.col("shard_idx") % 3 == 1).cast("int")).alias("count"))
     manifest = manifest.unionByName(spark.createDataFrame([(1_000_000, 5)], "shard_idx int, count long"))
-    return dense.usable_shards(dense.validate_shards(vectors, 64, manifest))
+    return dense.usable_shards(dense.validate_shards(vectors, 64, manifest), empty=True)
 
 
 @add("select count(*) as chunks, count(v.chunk_id) as indexed, round(100.0 * count(v.chunk_id) / count(*), 2) as coverage_pct from (select distinct chunk_id from chunk_records) c left join (select distinct chunk_id from chunk_vectors) v using (chunk_id)")

@@ -55,3 +55,9 @@ def test_normalize_text_has_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in catalog.queries()["normalize_text"](spark, str(tmp_path)).collect()}
     assert got == {i: "a bc" for i in range(len(space))} | {len(space): "", len(space) + 1: "x y"}
+
+
+def test_shard_policy_without_a_usable_shard(spark, tmp_path):
+    rows = [(s, f"c{s}-{i}", [0.5] * (64 if i else 3)) for s in range(3) for i in range(4)]  # a fault in every shard
+    spark.createDataFrame(rows, "shard_idx int, chunk_id string, embedding array<float>").write.parquet(f"{tmp_path}/chunk_vectors.parquet")
+    assert catalog.queries()["shard_policy"](spark, str(tmp_path)).collect() == []
