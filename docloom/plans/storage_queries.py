@@ -59,8 +59,9 @@ def query_file(spark: SparkSession, sf: str) -> DataFrame:
     """Queries from a text file with comments and blank lines, and as a list of words."""
     path, queries = scratch(spark, "queries"), table(spark, sf, "search_queries")
     queries.where("query is not null").select("query").union(spark.createDataFrame([("# a comment",), ("",)], "query string")).write.text(path)
-    words = tables.read_stopwords(spark, path)
-    return tables.read_list(spark, path).agg(F.count("*").alias("queries"), F.lit(len(words)).cast("long").alias("words"))
+    # the words are counted where they are, for a list of any length; read_stopwords is for lists that go into a plan
+    words = tables.read_list(spark, path, lower=True).agg(F.count_distinct("item").alias("words"))
+    return tables.read_list(spark, path).agg(F.count("*").alias("queries")).crossJoin(words)
 
 
 @add(f"select doc_id, len(list_filter({tokens_sql('text')}, lambda t: length(t) >= 3 and t not in ('the', 'and', 'for'))) as n from documents")

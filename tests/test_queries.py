@@ -61,3 +61,9 @@ def test_shard_policy_without_a_usable_shard(spark, tmp_path):
     rows = [(s, f"c{s}-{i}", [0.5] * (64 if i else 3)) for s in range(3) for i in range(4)]  # a fault in every shard
     spark.createDataFrame(rows, "shard_idx int, chunk_id string, embedding array<float>").write.parquet(f"{tmp_path}/chunk_vectors.parquet")
     assert catalog.queries()["shard_policy"](spark, str(tmp_path)).collect() == []
+
+
+def test_query_file_counts_more_words_than_a_plan_holds(spark, tmp_path):
+    many = spark.range(100_003).selectExpr("id as query_id", "case when id = 0 then null when id % 2 = 0 then concat('Word ', id) else concat(' word ', id) end as query")
+    many.unionByName(many.where("query_id = 1").selectExpr("-1L as query_id", "upper(query) as query")).write.parquet(f"{tmp_path}/search_queries.parquet")
+    assert [tuple(r) for r in catalog.queries()["query_file"](spark, str(tmp_path)).collect()] == [(100_003, 100_002)]
