@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import filter_tokens, tokenize
 from docloom.functions.values import stable_shard
+from docloom.operators import blocks
 from docloom.operators.ranking import number_rows
 from docloom.session import materialise
 
@@ -19,13 +21,14 @@ MAX_UNIQUE_TERMS = 50_000
 @dataclass
 class Index:
     """postings: term, doc_id, tf, dl (the document's length rides along, so a search needs no further join).
-    terms: term, df, idf. docs: doc_id, dl. n_docs, avgdl: over the admitted documents."""
+    terms: term, df, idf. docs: doc_id, dl. n_docs, avgdl: over the admitted documents. tokens: doc_id, tokens, dl, of an index just built."""
 
     postings: DataFrame
     terms: DataFrame
     docs: DataFrame
     n_docs: int
     avgdl: float
+    tokens: DataFrame | None = None
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -74,7 +77,7 @@ def build_index(df: DataFrame, id_col: str, text_col: str) -> Index:
     stats = _stats(docs).first()
     frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
     terms = frequencies.withColumn("idf", idf(F.lit(stats.n_docs), F.col("df")))
-    return Index(postings, terms, docs.select("doc_id", "dl"), stats.n_docs, stats.avgdl)
+    return Index(postings, terms, docs.select("doc_id", "dl"), stats.n_docs, stats.avgdl, docs)
 
 
 def posting_lists(postings: DataFrame) -> DataFrame:
@@ -148,6 +151,53 @@ def candidates(scored: DataFrame, top_k: int = 10, oversample: int = 10, max_can
     return scored.withColumn("hit_rank", F.row_number().over(w)).where(F.col("hit_rank") <= n)
 
 
+def same_terms(queries: DataFrame) -> DataFrame:
+    """query_id and first_id, the smallest id of the queries with the same terms; queries without a term have no row."""
+    sets = _term_sets(queries)
+    return sets.join(sets.groupBy("key").agg(F.min("query_id").alias("first_id")), "key").select("query_id", "first_id")
+
+
+def _term_sets(queries: DataFrame) -> DataFrame:
+    """query_id, asked (its terms in order) and key, equal for equal terms."""
+    asked = F.sort_array(F.collect_list("term"))
+    return query_terms(queries).groupBy("query_id").agg(asked.alias("asked")).withColumn("key", F.array_join("asked", " "))
+
+
+def best(index: Index, queries: DataFrame, n: int, filtered: DataFrame | None = None, mode: str = "post") -> DataFrame:
+    """query_id, doc_id, score, first_term and hit_rank of the n best documents of each query; filtered and mode as in ``search``.
+
+    Different sets of terms are scored against blocks of documents. A batch of more than ``blocks.MAX_TERMS`` different terms is joined by term.
+    """
+    sets = materialise(_term_sets(queries), "sets")
+    terms = sorted(r.term for r in sets.select(F.explode("asked").alias("term")).distinct().limit(blocks.MAX_TERMS + 1).collect())
+    if not 0 < len(terms) <= blocks.MAX_TERMS:
+        return _best_by_join(index, queries, n, filtered, mode)
+    tokens = index.tokens
+    if tokens is not None and not tokens.groupBy("doc_id").count().where("count > 1").isEmpty():
+        tokens = None  # copies of an id are one document, which the postings have put together
+    rows = blocks.from_postings(index.postings, terms) if tokens is None else blocks.from_tokens(tokens, terms)
+    built = blocks.build(rows, len(terms), filtered)
+    df, avgdl = blocks.frequencies(built, len(terms)), index.avgdl
+    idfs = np.log(1 + (index.n_docs - df + 0.5) / (df + 0.5))
+
+    def part(term: np.ndarray, tf: np.ndarray, dl: np.ndarray) -> np.ndarray:
+        return idfs[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+    place = {t: i for i, t in enumerate(terms)}
+    found = blocks.top(built, sets.select("key", "asked").dropDuplicates(["key"]), terms, place, part, n, filtered is not None and mode == "pre")
+    return sets.select("query_id", "key").join(found.join(blocks.doc_ids(built), ["block", "place"]), "key").select("query_id", "doc_id", "score", "first_term", "hit_rank")
+
+
+def _best_by_join(index: Index, queries: DataFrame, n: int, filtered: DataFrame | None, mode: str) -> DataFrame:
+    scored = score(index, queries)
+    if filtered is not None and mode == "pre":
+        scored = scored.join(filtered.select("doc_id"), "doc_id", "left_semi")
+    found = candidates(scored, n, 1)
+    if filtered is not None and mode == "post":
+        found = found.join(filtered.select("doc_id"), "doc_id", "left_semi")
+    return found
+
+
 def metadata_filter(df: DataFrame, entry_id: str | None = None, administration: str | None = None, agency: str | None = None, subject: str | None = None, meta: str = "meta_flat", entry: str = "page_ptr_id") -> DataFrame:
     """Rows that meet all filters given; an empty filter is none."""
     if entry_id:
@@ -167,11 +217,8 @@ def search(index: Index, queries: DataFrame, top_k: int = 10, oversample: int =
     filtered: ids (doc_id) that a filter leaves. Mode "post" applies it to the candidates, so that it may leave fewer than
     ``top_k``; "pre" applies it before ranking.
     """
-    scored = score(index, queries)
-    if filtered is not None and mode == "pre":
-        scored = scored.join(filtered.select("doc_id"), "doc_id", "left_semi")
-    found = candidates(scored, top_k, oversample)
-    if filtered is not None and mode == "post":
-        found = found.join(filtered.select("doc_id"), "doc_id", "left_semi")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "first_term", "doc_id")
+    if filtered is None or mode == "pre":
+        return best(index, queries, top_k, filtered, mode).select("query_id", "doc_id", "score", F.col("hit_rank").alias("rank"))
+    found = best(index, queries, max(top_k * max(1, oversample), top_k), filtered, mode)
+    w = Window.partitionBy("query_id").orderBy("hit_rank")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_k).select("query_id", "doc_id", "score", "rank")
