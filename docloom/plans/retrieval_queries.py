@@ -94,15 +94,22 @@ ents as (
 """
 
 
-def _hits(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with the columns of their chunks; texts are joined to the few candidates only."""
-    found = bm25.candidates(bm25.score(_index(spark, sf), table(spark, sf, "search_queries")), top_k=10, oversample=10)
-    chunks = chunks_once(spark, sf).select(F.col("chunk_id").alias("doc_id"), "chunk_id", F.col("page_ptr_id").alias("entry_id"), F.coalesce("policydocument_id", F.lit("")).alias("attachment_id"), "source_type", "text", F.col("meta_flat.announced_date").alias("announced_date"))
-    return found.join(chunks, "doc_id")
+def _hits(index: bm25.Index, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Candidates with the columns of their chunks, without texts, for which no query of entries asks."""
+    found = bm25.best(index, queries, 100)
+    shown = chunks.select(F.col("chunk_id").alias("doc_id"), "chunk_id", F.col("page_ptr_id").alias("entry_id"), F.coalesce("policydocument_id", F.lit("")).alias("attachment_id"), "source_type", F.lit(None).cast("string").alias("text"), F.col("meta_flat.announced_date").alias("announced_date"))
+    return found.join(shown, "doc_id")
 
 
 def _entries(spark: SparkSession, sf: str, by_date: bool = False) -> DataFrame:
-    return entries.roll_up(_hits(spark, sf), top_k=10, by_date=by_date)
+    """Entries of each query; queries with the same terms have the same, which are rolled up once."""
+    queries, chunks = table(spark, sf, "search_queries"), materialise(chunks_once(spark, sf), "chunks", tidy=True)
+    same = materialise(bm25.same_terms(queries), "same")
+    ids = same.select("first_id").distinct()
+    first = queries.join(ids, queries.query_id.eqNullSafe(ids.first_id), "left_semi")
+    found = entries.roll_up(_hits(bm25.build_index(chunks, "chunk_id", "text"), first, chunks), top_k=10, by_date=by_date)
+    found = found.withColumnRenamed("query_id", "_first")
+    return same.join(found, F.col("first_id").eqNullSafe(F.col("_first"))).drop("first_id", "_first")
 
 
 ENTRY_COLUMNS = "query_id, entry_id, rank, score, best_rank::int as best_rank, case top_type when 'policy_title' then 'title' when 'policy_summary' then 'summary' else 'pdf' end as source, chunk_id, matched_count, matched"

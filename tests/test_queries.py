@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 
+from docloom.operators import bm25
 from docloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,12 @@ def test_query_file_counts_more_words_than_a_plan_holds(spark, tmp_path):
     many = spark.range(100_003).selectExpr("id as query_id", "case when id = 0 then null when id % 2 = 0 then concat('Word ', id) else concat(' word ', id) end as query")
     many.unionByName(many.where("query_id = 1").selectExpr("-1L as query_id", "upper(query) as query")).write.parquet(f"{tmp_path}/search_queries.parquet")
     assert [tuple(r) for r in catalog.queries()["query_file"](spark, str(tmp_path)).collect()] == [(100_003, 100_002)]
+
+
+@pytest.mark.parametrize("name", ["bm25_entries", "bm25_entries_by_date", "bm25_stored", "bm25_filtered_post"])
+def test_searches_make_no_row_a_pair(spark, tables, monkeypatch, name):
+    def no_pairs(*_):
+        raise AssertionError("queries are joined to postings")
+
+    monkeypatch.setattr(bm25, "score", no_pairs)
+    assert len(catalog.queries()[name](spark, SF).collect()) == tables.execute(f"select count(*) from ({catalog.oracle_sql()[name]})").fetchone()[0]
