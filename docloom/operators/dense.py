@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Bytes of query vectors that go to every task at once.
 BLOCK_BYTES = 32 << 20
+#: Queries and vectors whose products are in memory at once.
+QUERY_ROWS, VECTOR_ROWS = 512, 2048
 
 
 def vector_errors(dims: int, vec: str = "embedding", id_col: str = "chunk_id") -> Column:
@@ -96,6 +99,32 @@ def metric_of(normalized: bool, stored: str | None = None) -> str:
     return stored or ("ip" if normalized else "l2")
 
 
+class _Top:
+    """The k best of some queries over vectors that come in the order of their ids; ties go to the earlier."""
+
+    def __init__(self, k: int):
+        self.k, self.bound = k, None
+        self.rows = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, s: np.ndarray, start: int) -> None:
+        """s: scores of the queries (rows) with the vectors from place ``start`` on."""
+        n = min(self.k, s.shape[1])
+        bound = -np.partition(-s, n - 1, axis=1)[:, n - 1] if self.bound is None else self.bound
+        bound = np.where(np.isnan(bound), -np.inf, bound)  # scores that are no numbers stay out, the others count
+        a, b = np.nonzero(s >= bound[:, None])  # ties at the bound stay
+        if not len(a):
+            return
+        q, place, score = (np.concatenate(x) for x in zip(self.rows, (a, b + start, s[a, b]), strict=True))
+        order = np.lexsort((place, -score, q))
+        q, place, score = q[order], place[order], score[order]
+        starts = np.searchsorted(q, np.arange(len(s)))
+        kept = np.arange(len(q)) - starts[q] < self.k
+        self.rows = q, place, score = q[kept], place[kept], score[kept]
+        counts = np.bincount(q, minlength=len(s))
+        last = np.minimum(np.cumsum(counts) - 1, len(q) - 1)
+        self.bound = np.where(counts == self.k, score[np.maximum(last, 0)], -np.inf)
+
+
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", id_col: str = "chunk_id", vec: str = "embedding", query_vec: str = "embedding", decimals: int = 6) -> DataFrame:
     """query_id, id, score (larger is better, L2 as the negated squared distance) and rank of the k best of each query.
 
@@ -120,25 +149,33 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                keep = [i for i, v in enumerate(batch.column(1).to_pylist()) if v is not None and len(v) == q.shape[1]]
-                if not keep:
-                    continue
-                part = batch.take(pa.array(keep))
-                x = part.column(1).flatten().to_numpy().reshape(len(keep), -1)
-                s = q @ x.T if metric == "ip" else -((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T)
-                s = np.round(s, decimals) + 0.0
-                n = min(k, s.shape[1])
-                bound = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-                a, b = np.nonzero(s >= bound[:, None])  # ties at the bound stay
-                got = pd.DataFrame({"q": a, "id": np.array(part.column(0).to_pylist(), dtype=object)[b], "score": s[a, b]})
-                best = got if best is None else pd.concat([best, got])
-                best = best.sort_values(["q", "score", "id"], ascending=[True, False, True]).groupby("q").head(k)
-            if best is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in best["q"]], kinds[0]), pa.array(best["id"].tolist(), kinds[1]), pa.array(best["score"].to_numpy())], names=["query_id", id_col, "score"])
-
-        return vectors.select(id_col, F.col(vec).cast("array<double>")).mapInArrow(run, schema)
+            ids: list[pa.Array] = []
+            seen = 0
+            tops = [_Top(k) for _ in range(0, len(q), QUERY_ROWS)]
+            for whole in batches:
+                for at in range(0, whole.num_rows, VECTOR_ROWS):
+                    batch = whole.slice(at, VECTOR_ROWS)
+                    keep = pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), q.shape[1]), False)
+                    part = batch.filter(keep)
+                    if not part.num_rows:
+                        continue
+                    x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    for i, top in enumerate(tops):
+                        p = q[i * QUERY_ROWS : (i + 1) * QUERY_ROWS]
+                        s = p @ x.T if metric == "ip" else -((p**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * p @ x.T)
+                        top.add(np.round(s, decimals) + 0.0, seen)
+                    ids.append(part.column(0))
+                    seen += part.num_rows
+            if not seen:
+                return
+            known = pa.chunked_array(ids)
+            for i, top in enumerate(tops):
+                a, place, score = top.rows
+                asked = pa.array([names[i * QUERY_ROWS + j] for j in a], kinds[0])
+                yield pa.RecordBatch.from_arrays([asked, known.take(pa.array(place)).combine_chunks().cast(kinds[1]), pa.array(score)], names=["query_id", id_col, "score"])
+
+        # by id, so that places stand in the order of ids
+        return vectors.select(id_col, F.col(vec).cast("array<double>")).sortWithinPartitions(id_col).mapInArrow(run, schema)
 
     def add(found: list) -> None:
         nonlocal parts

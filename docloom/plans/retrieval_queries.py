@@ -266,8 +266,9 @@ def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     embedder = dense.Embedder()
     stored = materialise(dense.embed(chunks, embedder), "vectors")
     asked = materialise(dense.embed(queries.where("query is not null"), embedder, "query_id", "query"), "queries")
-    near = dense.exact_search(stored, asked, 100)
-    hits = near.withColumn("hit_rank", F.col("rank")).join(chunks.select("chunk_id", F.col("page_ptr_id").alias("entry_id"), F.col("chunk_id").alias("doc_id"), F.coalesce("policydocument_id", F.lit("")).alias("attachment_id"), "source_type", "text", F.col("meta_flat.announced_date").alias("announced_date")), "chunk_id")
+    # written, for the lists below would each run it again; hits go without their texts, which the rerank joins to the few entries
+    near = materialise(dense.exact_search(stored, asked, 100), "near", tidy=True)
+    hits = near.withColumn("hit_rank", F.col("rank")).join(chunks.select("chunk_id", F.col("page_ptr_id").alias("entry_id"), F.col("chunk_id").alias("doc_id"), F.coalesce("policydocument_id", F.lit("")).alias("attachment_id"), "source_type", F.lit(None).cast("string").alias("text"), F.col("meta_flat.announced_date").alias("announced_date")), "chunk_id")
     lists = {"bm25": _entries(spark, sf), "semantic": entries.roll_up(hits, top_k=10)}
     ranked = entries.rerank(entries.fuse(lists), queries, chunks.select("chunk_id", "text"))
     return entries.confidence_band(ranked).select("query_id", "entry_id", "rank", "ce_score", "rrf_score")

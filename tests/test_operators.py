@@ -281,3 +281,19 @@ def test_shard_policy(spark):
         dense.usable_shards(report, skip=False)
     with pytest.raises(ValueError, match="no shard"):
         dense.usable_shards(report.where("shard_idx = 1"))
+
+
+def test_exact_search_by_small_tiles(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(90, 4)), 1)  # coarse, so that there are ties
+    x[40:80] = x[:40]
+    ids = [f"v{i:02d}" for i in r.permutation(90)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "chunk_id string, embedding array<double>")
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x[:25])], "query_id int, embedding array<double>")
+    monkeypatch.setattr(dense, "QUERY_ROWS", 8)  # no product is larger than this by that, whatever the queries and vectors are
+    monkeypatch.setattr(dense, "VECTOR_ROWS", 7)
+    got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in dense.exact_search(vectors, asked, 6).collect()}
+    s = np.round(x[:25] @ x.T, 6)
+    for q in range(25):
+        want = sorted(zip(-s[q], ids, strict=True))[:6]
+        assert [got[q, n + 1] for n in range(6)] == [(i, pytest.approx(-v, abs=1e-9)) for v, i in want]
